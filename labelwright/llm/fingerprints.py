@@ -78,7 +78,7 @@ def _densified(bins: Column) -> Column:
 
 def fingerprint(text: Column, k: int = SHINGLE) -> Column:
     """The fingerprint of a text column, as a string of 256 hexadecimal digits."""
-    hashes = F.array_sort(_shingle_hashes(text, k))
+    hashes = F.sort_array(_shingle_hashes(text, k))
     return _let(hashes, lambda h: F.when(F.size(h) == 0, F.lit(EMPTY)).otherwise(_densified(_let(h, _bins))))
 
 
