@@ -124,7 +124,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = format_chats(rows.unionByName(probe))
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
     back = F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    read = done.select("conv_id", back.alias("back"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", "bad_turn")
+    read = done.select("conv_id", back.alias("back"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"), "valid")
     return read.select(
         "conv_id",
         F.size("back").cast("bigint").alias("n_turns"),
@@ -133,7 +133,6 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
         "valid",
-        F.col("bad_turn").cast("bigint").alias("bad_turn"),
     )
 
 
@@ -142,19 +141,19 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS at FROM rows),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM rows),
 stepped AS (
-  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY at), 'start') || '>' || role AS move,
-         lead(role) OVER (PARTITION BY conv_id ORDER BY at) IS NULL AS is_last FROM numbered),
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 'start') || '>' || role AS move,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY pos) IS NULL AS is_last FROM numbered),
 judged AS (
-  SELECT *, CASE WHEN move NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') THEN at
-                 WHEN is_last AND role NOT IN ('user', 'assistant') THEN at + 1 END AS bad FROM stepped)
+  SELECT *, CASE WHEN move NOT IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') THEN pos
+                 WHEN is_last AND role NOT IN ('user', 'assistant') THEN pos + 1 END AS bad FROM stepped)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(12 + length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '%', '%25'), chr(10), '%0A')) + 1
            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11)::BIGINT AS formatted_chars,
-       min(bad) IS NULL AS valid, min(bad)::BIGINT AS bad_turn
+       min(bad) IS NULL AS valid
 FROM judged GROUP BY conv_id
 """

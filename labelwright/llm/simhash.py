@@ -25,6 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +65,12 @@ def simhash(text: str | None, k: int) -> int:
 def fingerprints(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """Columns `key` and `fp`, the fingerprint as a signed bigint."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t, k) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "fp": fps.view(np.int64)})
+            fps = np.fromiter((simhash(t, k) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id bigint, fp bigint")
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, fp bigint")
 
 
 def parts_for(n: int, radius: int) -> int:
