@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -111,11 +112,15 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | Non
 
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """`docs` without the text and with `n_bytes`, `n_tokens`, `over_limit`. Appends to `cache`, by default a table in the checkpoint folder."""
+    """`docs` without the text and with `n_bytes`, `n_tokens`, `over_limit`.
+
+    `cache` is the table's path, in a folder that all executors share; later calls with the same path find what earlier
+    ones stored. Without it a new, empty table is made in the checkpoint folder, so that every distinct text is encoded.
+    """
     spark = docs.sparkSession
     path = path or tokenizer_path()
     version = tokenizer_digest(path)
-    cache = cache or f"{ensure_checkpoint_dir(spark)}/token-counts"
+    cache = cache or f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid4().hex}"
     plain = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(plain, 256))
     every = docs.select(digest.alias("digest"), plain.alias("text"))
