@@ -1,0 +1,70 @@
+"""The run log: append-only Parquet tables of runs and their metrics, with a schema version."""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMA_VERSION = 1
+RUNS = "run_id string, started_at string, backend string, model_id string, prompt_version string, prompt_sha256 string, n_items bigint, config_json string, notes string, schema_version int"
+METRICS = "run_id string, metric string, value double, ci_lo double, ci_hi double"
+
+
+class RunLog:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        if (found := self._table("runs", RUNS)) is not None:
+            other = found.where(F.col("schema_version") != SCHEMA_VERSION).select("schema_version").first()
+            if other is not None:
+                raise ValueError(f"the run log has schema version {other[0]}, not {SCHEMA_VERSION}")
+
+    def _table(self, name: str, schema: str) -> DataFrame | None:
+        path = f"{self.root}/{name}"
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return self.spark.read.schema(schema).parquet(path)
+
+    def log(self, *, backend: str, model_id: str, prompt_version: str, prompt_sha256: str, n_items: int, metrics: dict[str, float | tuple[float, float | None, float | None]], config: dict | None = None, notes: str = "") -> str:
+        """Appends a run; metrics are written first, so that a run that can be seen has all of them."""
+        if n_items <= 0:
+            raise ValueError("n_items must be positive")
+        if len(prompt_sha256) != 64:
+            raise ValueError("prompt_sha256 must have 64 characters")
+        run_id = uuid4().hex
+        rows = [(run_id, k, *(map(lambda x: None if x is None else float(x), v) if isinstance(v, tuple) else (float(v), None, None))) for k, v in metrics.items()]
+        if rows:
+            self.spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(f"{self.root}/metrics")
+        now = datetime.now(timezone.utc).isoformat()
+        run = (run_id, now, backend, model_id, prompt_version, prompt_sha256, n_items, json.dumps(config or {}, sort_keys=True), notes, SCHEMA_VERSION)
+        self.spark.createDataFrame([run], RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        return run_id
+
+    def runs(self) -> DataFrame:
+        """Runs, newest first."""
+        found = self._table("runs", RUNS)
+        return (self.spark.createDataFrame([], RUNS) if found is None else found).orderBy(F.desc("started_at"), "run_id")
+
+    def nested(self) -> DataFrame:
+        """Runs with their metrics as an array."""
+        found = self._table("metrics", METRICS)
+        metrics = self.spark.createDataFrame([], METRICS) if found is None else found
+        lists = metrics.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("metric", "value", "ci_lo", "ci_hi"))).alias("metrics"))
+        return self.runs().join(lists, "run_id", "left")
+
+    def show(self, run_id: str) -> dict:
+        """One run as a document, its config decoded; an unknown id is an error."""
+        row = self.nested().where(F.col("run_id") == run_id).first()
+        if row is None:
+            raise KeyError(f"no run {run_id}")
+        out = row.asDict(recursive=True)
+        out["config"] = json.loads(out.pop("config_json"))
+        return out
+
+    def export(self, path: str) -> None:
+        """All runs as JSON, one a line."""
+        self.nested().write.mode("overwrite").json(path)
