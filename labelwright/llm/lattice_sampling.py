@@ -44,9 +44,11 @@ MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 #: Words whose lattices a task remembers, and words that are expanded at once.
-MEMO = 400_000
+MEMO = 150_000
 CHUNK = 60_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the hashes of pieces; of 64 bits, so that no two texts in question are likely to share one.
+_BASE = 0xD6E8FEB86659FD93
 
 
 def model_path(name: str = MODEL) -> str:
@@ -113,88 +115,105 @@ class Lattices:
 
     def __init__(self, words: Vocabulary):
         self.words = words
+        # Hashes of the beginnings of pieces by length, and the id of the piece that each is, or -1.
+        by_length: list[list[tuple[int, int]]] = [[] for _ in range(words.longest + 1)]
+        for text, piece in words.starts.items():
+            h = 0
+            for c in text:
+                h = (h * _BASE + ord(c) + 1) % 2**64
+            by_length[len(text)].append((h, piece))
+        self._tables = [(np.array([h for h, _ in t], np.uint64), np.array([i for _, i in t], np.int64)) for t in map(sorted, by_length)]
+        self._weights = np.array(words.log_weights)
         self.clear()
 
     def clear(self) -> None:
         self.first: dict[str, int] = {}
-        self._states = 0
-        self._new: tuple[list, ...] = ([], [], [], [])  # edges of each new state; score, state after and ids of each new edge
         self.start = np.zeros(1, np.int64)
         self.log_q, self.log_rest, self.reach = (np.empty(0) for _ in range(3))
-        self.after, self.id_start, self.id_count = (np.empty(0, np.int64) for _ in range(3))
-        self.ids = np.empty(0, np.int32)
-
-    def add(self, unit: str) -> int:
-        """The first state of a word."""
-        known = self.first.get(unit)
-        if known is not None:
-            return known
-        ids, starts, weights, n, longest = self.words.ids, self.words.starts, self.words.log_weights, len(unit), self.words.longest
-        counts, scores, afters, pieces = self._new
-        total = [0.0] * (n + 1)
-        base = self._states
-        rows: list[tuple[list[float], list[int], list[tuple[int, ...]]]] = []
-        for i in range(n - 1, -1, -1):
-            score: list[float] = []
-            after: list[int] = []
-            piece: list[tuple[int, ...]] = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = starts.get(unit[i:j])
-                if found is None:
-                    break
-                if found >= 0:
-                    score.append(weights[found] + total[j])
-                    after.append(base + j if j < n else -1)
-                    piece.append((found,))
-            if unit[i] not in ids:
-                spelt = tuple(self.words.byte_ids[b] for b in unit[i].encode("utf-8", "replace"))
-                score.append(sum(weights[b] for b in spelt) + total[i + 1])
-                after.append(base + i + 1 if i + 1 < n else -1)
-                piece.append(spelt)
-            best = max(score)
-            total[i] = best + math.log(sum([math.exp(x - best) for x in score])) if len(score) > 1 else best
-            rows.append((score, after, piece))
-        for score, after, piece in reversed(rows):
-            counts.append(len(score))
-            scores += score
-            afters += after
-            pieces += piece
-        self._states += n
-        self.first[unit] = base
-        return base
-
-    def arrays(self) -> None:
-        """Brings the arrays up to date with the words added."""
-        counts, scores, afters, pieces = self._new
-        if not counts:
+        self.after, self.id_start = (np.empty(0, np.int64) for _ in range(2))
+        self.id_count, self.ids = (np.empty(0, np.int32) for _ in range(2))
+
+    def add(self, units: list[str]) -> None:
+        """Builds the lattices of different words that aren't known yet, all at once."""
+        if not units:
             return
-        self._new = ([], [], [], [])
-        count = np.array(counts, np.int64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        end = np.repeat(np.cumsum(length), length)
+        n = len(chars)
+        # Pieces that begin at each place, longer and longer, as long as what is read is the beginning of a piece.
+        place, h = np.arange(n), np.zeros(n, np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, self.words.longest + 1):
+            room = place + size <= end[place]
+            place, h = place[room], h[room]
+            hashes, ids = self._tables[size]
+            if not len(place) or not len(hashes):
+                break
+            h = h * np.uint64(_BASE) + chars[place + size - 1] + np.uint64(1)
+            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            known = hashes[spot] == h
+            place, h, spot = place[known], h[known], spot[known]
+            whole = ids[spot] >= 0
+            found.append((place[whole], np.full(int(whole.sum()), size), ids[spot[whole]]))
+        at, size, piece = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
+        lacking = np.ones(n, bool)
+        lacking[at[size == 1]] = False
+        spelt = np.nonzero(lacking)[0]
+        spellings = [[self.words.byte_ids[b] for b in chr(int(c)).encode("utf-8", "replace")] for c in chars[spelt]]
+        weight = np.concatenate((self._weights[piece], [sum(self.words.log_weights[b] for b in x) for x in spellings]))
+        at, size, piece = np.concatenate((at, spelt)), np.concatenate((size, np.ones(len(spelt), np.int64))), np.concatenate((piece, -1 - np.arange(len(spelt))))
+        order = np.lexsort((size, at))
+        at, size, piece, weight = at[order], size[order], piece[order], weight[order]
+        count = np.bincount(at, minlength=n)
         begin = np.cumsum(count) - count
-        state = np.repeat(np.arange(len(count)), count)
-        score = np.array(scores)
+        # What all segmentations from each place have together, from the words' ends backwards.
+        total = np.zeros(n + 1)
+        score = np.empty(len(at))
+        left = end - np.arange(n)
+        by_left = np.argsort(left, kind="stable")
+        cuts = np.cumsum(np.bincount(left))
+        for r in range(1, len(cuts)):
+            places = by_left[cuts[r - 1] : cuts[r]]
+            if not len(places):
+                continue
+            edges = _ranges(begin[places], count[places])
+            to = at[edges] + size[edges]
+            value = weight[edges] + np.where(to == end[at[edges]], 0.0, total[to])
+            score[edges] = value
+            heads = np.cumsum(count[places]) - count[places]
+            top = np.maximum.reduceat(value, heads)
+            total[places] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count[places])), heads))
         top = np.maximum.reduceat(score, begin)
-        weight = np.exp(score - top[state])
-        whole = np.add.reduceat(weight, begin)
-        q = weight / whole[state]
+        chance = np.exp(score - top[at])
+        q = chance / np.add.reduceat(chance, begin)[at]
         # What the other edges have together; for the likeliest edge summed without it, as 1 - q would lose digits.
-        spot = np.minimum.reduceat(np.where(score == top[state], np.arange(len(score)), len(score)), begin)
+        likeliest = np.minimum.reduceat(np.where(score == top[at], np.arange(len(score)), len(score)), begin)
         without = q.copy()
-        without[spot] = 0.0
+        without[likeliest] = 0.0
         rest = 1.0 - q
-        rest[spot] = np.add.reduceat(without, begin)
-        rest[count[state] == 1] = 0.0
+        rest[likeliest] = np.add.reduceat(without, begin)
+        rest[count[at] == 1] = 0.0
         running = np.cumsum(q)
-        reach = running - (running[begin] - q[begin])[state]
+        reach = running - (running[begin] - q[begin])[at]
         reach[begin + count - 1] = 1.0
-        edges = len(self.log_q)
+        base = len(self.start) - 1
+        is_spelt = piece < 0
+        id_count = np.ones(len(piece), np.int32)
+        id_count[is_spelt] = [len(spellings[-1 - p]) for p in piece[is_spelt]]
+        ids = np.repeat(np.maximum(piece, 0), id_count).astype(np.int32)
+        id_start = np.cumsum(id_count, dtype=np.int64) - id_count
+        for e in np.nonzero(is_spelt)[0]:
+            ids[id_start[e] : id_start[e] + id_count[e]] = spellings[-1 - piece[e]]
+        to = at + size
         with np.errstate(divide="ignore"):
-            grown = {"log_q": np.minimum(np.log(q), 0.0), "log_rest": np.log(rest), "reach": reach + state + len(self.start) - 1, "after": np.array(afters, np.int64)}
-        id_count = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        grown |= {"id_count": id_count, "id_start": np.cumsum(id_count) - id_count + len(self.ids), "ids": np.fromiter((x for p in pieces for x in p), np.int32, int(id_count.sum()))}
-        grown["start"] = edges + np.cumsum(count)
+            grown = {
+                "log_q": np.minimum(np.log(q), 0.0), "log_rest": np.log(rest), "reach": reach, "after": np.where(to == end[at], -1, to + base), "id_count": id_count, "id_start": id_start + len(self.ids), "ids": ids,
+                "start": len(self.log_q) + np.cumsum(count),
+            }
         for name, more in grown.items():
             setattr(self, name, np.concatenate((getattr(self, name), more)))
+        self.first.update(zip(units, (base + np.cumsum(length) - length).tolist()))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,6 +244,19 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
+def _draw(lat: Lattices, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """An edge of each state: the first whose running sum of probabilities reaches u, found by halving the states' few edges."""
+    lo, hi = lat.start[state], lat.start[state + 1] - 1
+    open_ = np.nonzero(lo < hi)[0]
+    while len(open_):
+        a, b = lo[open_], hi[open_]
+        mid = (a + b) >> 1
+        above = u[open_] > lat.reach[mid]
+        lo[open_], hi[open_] = np.where(above, mid + 1, a), np.where(above, b, mid)
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
 @dataclass
 class Expansion:
     """Paths below some nodes, one for each text. Edges are in path order; `cut` has where each text's begin."""
@@ -249,7 +281,7 @@ def expand(lat: Lattices, state: np.ndarray, text: np.ndarray, unit: np.ndarray,
     parts: list[tuple[np.ndarray, ...]] = []
     while len(alive):
         h = _mix(word_seed[alive] + (step.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
-        pick = np.minimum(np.searchsorted(lat.reach, at + _unit(h)), lat.start[at + 1] - 1)
+        pick = _draw(lat, at, _unit(h))
         parts.append((pick, at, alive, step, h))
         at = lat.after[pick]
         go = at >= 0
@@ -388,12 +420,13 @@ def encode_texts(texts: list[str | None], keys: list[object], lat: Lattices, k:
     while at < len(texts):
         if len(lat.first) > MEMO:
             lat.clear()
-        first, size, group = at, 0, []
-        while at < len(texts) and (not group or size < CHUNK):
-            group.append([lat.add(u) for u in units_of(texts[at] or "", lat.words)])
-            size += len(group[-1])
+        first, size, units = at, 0, []
+        while at < len(texts) and (not units or size < CHUNK):
+            units.append(units_of(texts[at] or "", lat.words))
+            size += len(units[-1])
             at += 1
-        lat.arrays()
+        lat.add(sorted({u for t in units for u in t if u not in lat.first}))
+        group = [[lat.first[u] for u in t] for t in units]
         found = sample_texts(group, [seed_of(x) for x in keys[first:at]], lat, k)
         for s in found:
             s.row += first
