@@ -9,7 +9,8 @@ Gumbels drawn under the condition that their largest is the node's. So the numbe
 leaves, and a best-first search that always takes the largest open node meets leaves in falling order: the first k are a
 sample of k distinct segmentations without replacement. With kappa the number of the best node still open after k, a
 segmentation of log-probability phi was included with probability 1 - exp(-exp(phi - kappa)), its inclusion score; if
-nothing is open, all segmentations are out and the score is 1.
+nothing is open, all segmentations are out and the score is 1. One segmentation of a long text has a score too small for
+a double, so its logarithm is given too.
 
 No piece crosses from one word into the next, nor from a letter to a mark that no piece has inside, so a text's lattice
 is a chain of small lattices. A search node has two children: one edge that leaves its place, drawn by its probability,
@@ -348,7 +349,15 @@ class Sample:
     rank: int
     ids: np.ndarray
     log_prob: float
-    inclusion: float
+    log_inclusion: float
+
+
+def log_inclusion(log_prob: float, kappa: float) -> float:
+    """ln(1 - exp(-exp(log_prob - kappa)))"""
+    x = log_prob - kappa
+    if kappa == -np.inf or x > 5:
+        return 0.0
+    return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
 
 
 def sample_texts(texts: list[list[int]], seeds: list[int], lat: Lattices, k: int) -> list[Sample]:
@@ -405,8 +414,7 @@ def sample_texts(texts: list[list[int]], seeds: list[int], lat: Lattices, k: int
         kappa = max((x.number for x in heaps[row]), default=-np.inf)
         for rank, (path, log_prob) in enumerate(taken[row]):
             ids = lat.ids[_ranges(lat.id_start[path], lat.id_count[path])] if len(path) else np.empty(0, np.int32)
-            inclusion = 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(700.0, log_prob - kappa))))
-            out.append(Sample(row, rank, ids, log_prob, inclusion))
+            out.append(Sample(row, rank, ids, log_prob, log_inclusion(log_prob, kappa)))
     return out
 
 
@@ -433,11 +441,11 @@ def encode_texts(texts: list[str | None], keys: list[object], lat: Lattices, k:
         yield found
 
 
-ADDED = {"sample": pa.int32(), "ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "log_prob": pa.float64(), "inclusion": pa.float64(), "round_trip": pa.bool_()}
+ADDED = {"sample": pa.int32(), "ids": pa.list_(pa.int32()), "n_pieces": pa.int64(), "log_prob": pa.float64(), "inclusion": pa.float64(), "log_inclusion": pa.float64(), "round_trip": pa.bool_()}
 
 
 def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, alpha: float = ALPHA, path: str | None = None) -> DataFrame:
-    """Column `key` and, for each sampled segmentation of the row's text, `sample` (its number from 0), `ids`, `n_pieces`, `log_prob`, `inclusion`, and whether the ids decode to the text."""
+    """Column `key` and, for each sampled segmentation of the row's text, `sample` (its number from 0), `ids`, `n_pieces`, `log_prob`, `inclusion` and its logarithm, and whether the ids decode to the text."""
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,13 +465,14 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
                         ids,
                         pa.array(np.diff(ends).astype(np.int64)),
                         pa.array([s.log_prob for s in found], pa.float64()),
-                        pa.array([s.inclusion for s in found], pa.float64()),
+                        pa.array([math.exp(s.log_inclusion) for s in found], pa.float64()),
+                        pa.array([s.log_inclusion for s in found], pa.float64()),
                         pa.array(back, pa.bool_()),
                     ],
                     [key, *ADDED],
                 )
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, sample int, ids array<int>, n_pieces bigint, log_prob double, inclusion double, round_trip boolean"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, sample int, ids array<int>, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, round_trip boolean"
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
