@@ -16,8 +16,8 @@ No piece crosses from one word into the next, nor from a letter to a mark that n
 is a chain of small lattices. A search node has two children: one edge that leaves its place, drawn by its probability,
 and all other edges there together. Along a path all nodes have the number of the path's top node, and the rest at each
 place gets a Gumbel around its log-probability held below that number; so all words of many texts are expanded at once
-with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered within a task, up to
-MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone.
+with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered by a Python worker,
+up to MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone.
 
 Cases: null texts count as empty; an empty text has one segmentation, of no pieces; texts with fewer segmentations than
 k give fewer rows; rows that repeat a key give the same draws; `▁` in a text reads back as a blank, as the model writes
@@ -32,6 +32,7 @@ import re
 import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 #: Words whose lattices a task remembers, and words that are expanded at once.
-MEMO = 150_000
+MEMO = 400_000
 CHUNK = 60_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the hashes of pieces; of 64 bits, so that no two texts in question are likely to share one.
@@ -96,10 +97,10 @@ def _unit_pattern(pieces: Iterable[str]) -> re.Pattern:
     joined = {b for piece in pieces for a, b in zip(piece, piece[1:]) if a.isalpha()}
     marks = re.escape("".join(c for c in string.punctuation if c not in joined))
     controls = "".join(chr(c) for c in range(32) if not any(chr(c) in piece for piece in pieces))
-    plain = f"[^▁{re.escape(controls)}]" if controls else "[^▁]"
-    first = f"[{re.escape(controls)}]|" if controls else ""
-    split = rf"▁*{plain}*?[^\W\d_](?=[{marks}])|" if marks else ""
-    return re.compile(f"{first}{split}▁*{plain}+|▁+")
+    control = re.escape(controls)
+    if not marks:
+        return re.compile(f"[{control}]|▁*[^▁{control}]+|▁+")
+    return re.compile(rf"▁*[^▁{control}{marks}]++(?:(?<=[^\W\d_])(?=[{marks}])|[^▁{control}]*)|▁*[{marks}][^▁{control}]*|[{control}]|▁+")
 
 
 def decode(ids: list[int], words: Vocabulary) -> str:
@@ -129,10 +130,25 @@ class Lattices:
 
     def clear(self) -> None:
         self.first: dict[str, int] = {}
+        self._room: dict[str, np.ndarray] = {}
         self.start = np.zeros(1, np.int64)
-        self.log_q, self.log_rest, self.reach = (np.empty(0) for _ in range(3))
-        self.after, self.id_start = (np.empty(0, np.int64) for _ in range(2))
-        self.id_count, self.ids = (np.empty(0, np.int32) for _ in range(2))
+        self.log_q = np.empty(0)
+        self.log_rest, self.reach = (np.empty(0, np.float32) for _ in range(2))
+        #: A piece's id, or -1 - i for the i-th spelling.
+        self.after, self.piece = (np.empty(0, np.int32) for _ in range(2))
+        self.spellings: list[list[int]] = []
+
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """Adds to an array that has room to spare, so that old entries are seldom copied."""
+        old = getattr(self, name)
+        n = len(old) + len(more)
+        room = self._room.get(name)
+        if room is None or len(room) < n:
+            room = np.empty(n + n // 2, old.dtype)
+            room[: len(old)] = old
+            self._room[name] = room
+        room[len(old) : n] = more
+        setattr(self, name, room[:n])
 
     def add(self, units: list[str]) -> None:
         """Builds the lattices of different words that aren't known yet, all at once."""
@@ -164,7 +180,7 @@ class Lattices:
         spellings = [[self.words.byte_ids[b] for b in chr(int(c)).encode("utf-8", "replace")] for c in chars[spelt]]
         weight = np.concatenate((self._weights[piece], [sum(self.words.log_weights[b] for b in x) for x in spellings]))
         at, size, piece = np.concatenate((at, spelt)), np.concatenate((size, np.ones(len(spelt), np.int64))), np.concatenate((piece, -1 - np.arange(len(spelt))))
-        order = np.lexsort((size, at))
+        order = np.argsort(at, kind="stable")
         at, size, piece, weight = at[order], size[order], piece[order], weight[order]
         count = np.bincount(at, minlength=n)
         begin = np.cumsum(count) - count
@@ -199,23 +215,37 @@ class Lattices:
         reach = running - (running[begin] - q[begin])[at]
         reach[begin + count - 1] = 1.0
         base = len(self.start) - 1
-        is_spelt = piece < 0
-        id_count = np.ones(len(piece), np.int32)
-        id_count[is_spelt] = [len(spellings[-1 - p]) for p in piece[is_spelt]]
-        ids = np.repeat(np.maximum(piece, 0), id_count).astype(np.int32)
-        id_start = np.cumsum(id_count, dtype=np.int64) - id_count
-        for e in np.nonzero(is_spelt)[0]:
-            ids[id_start[e] : id_start[e] + id_count[e]] = spellings[-1 - piece[e]]
+        piece[piece < 0] -= len(self.spellings)
+        self.spellings += spellings
         to = at + size
         with np.errstate(divide="ignore"):
             grown = {
-                "log_q": np.minimum(np.log(q), 0.0), "log_rest": np.log(rest), "reach": reach, "after": np.where(to == end[at], -1, to + base), "id_count": id_count, "id_start": id_start + len(self.ids), "ids": ids,
+                "log_q": np.minimum(np.log(q), 0.0), "log_rest": np.log(rest).astype(np.float32), "reach": reach.astype(np.float32), "after": np.where(to == end[at], -1, to + base).astype(np.int32), "piece": piece.astype(np.int32),
                 "start": len(self.log_q) + np.cumsum(count),
             }
         for name, more in grown.items():
-            setattr(self, name, np.concatenate((getattr(self, name), more)))
+            self._append(name, more)
         self.first.update(zip(units, (base + np.cumsum(length) - length).tolist()))
 
+    def ids_of(self, path: np.ndarray) -> np.ndarray:
+        """The ids of a path's pieces."""
+        ids = self.piece[path]
+        spelt = np.nonzero(ids < 0)[0]
+        if not len(spelt):
+            return ids
+        count = np.ones(len(ids), np.int64)
+        bytes_of = [self.spellings[-1 - p] for p in ids[spelt].tolist()]
+        count[spelt] = list(map(len, bytes_of))
+        out = np.repeat(ids, count)
+        out[_ranges((np.cumsum(count) - count)[spelt], count[spelt])] = list(chain.from_iterable(bytes_of))
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def lattices(path: str, alpha: float) -> Lattices:
+    """Those of a Python worker, which keeps them from one task to the next; results don't depend on what they hold."""
+    return Lattices(vocabulary(path, alpha))
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -413,8 +443,7 @@ def sample_texts(texts: list[list[int]], seeds: list[int], lat: Lattices, k: int
     for row in range(n):
         kappa = max((x.number for x in heaps[row]), default=-np.inf)
         for rank, (path, log_prob) in enumerate(taken[row]):
-            ids = lat.ids[_ranges(lat.id_start[path], lat.id_count[path])] if len(path) else np.empty(0, np.int32)
-            out.append(Sample(row, rank, ids, log_prob, log_inclusion(log_prob, kappa)))
+            out.append(Sample(row, rank, lat.ids_of(path), log_prob, log_inclusion(log_prob, kappa)))
     return out
 
 
@@ -433,8 +462,8 @@ def encode_texts(texts: list[str | None], keys: list[object], lat: Lattices, k:
             units.append(units_of(texts[at] or "", lat.words))
             size += len(units[-1])
             at += 1
-        lat.add(sorted({u for t in units for u in t if u not in lat.first}))
-        group = [[lat.first[u] for u in t] for t in units]
+        lat.add(list(set(chain.from_iterable(units)).difference(lat.first)))
+        group = [list(map(lat.first.__getitem__, t)) for t in units]
         found = sample_texts(group, [seed_of(x) for x in keys[first:at]], lat, k)
         for s in found:
             s.row += first
@@ -449,8 +478,8 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, alpha)
-        lat = Lattices(words)
+        lat = lattices(path, alpha)
+        words = lat.words
         for batch in batches:
             texts, keys = batch.column("_text").to_pylist(), batch.column("_key").to_pylist()
             for found in encode_texts(texts, keys, lat, k):
