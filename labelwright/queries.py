@@ -13,7 +13,7 @@ from labelwright.functions import text as T
 from labelwright.functions.intervals import wilson
 from labelwright.operators import adversarial, agreement, annotate, baseline, chunk, dedup, drift, evaluate, responses, taxonomy
 from labelwright.plans import contracts
-from labelwright.session import table
+from labelwright.session import spread, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 QUERIES: dict = {}
@@ -93,7 +93,7 @@ LEX = f"""lex AS (SELECT doc_id, ({_hits_sql(DOC_LEXICON["positive"])})::DOUBLE
 
 
 def lexicon_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return annotate.annotate(docs, ["positive", "negative"], "doc_id", lexicons=DOC_LEXICON).withColumnRenamed("chunk_id", "doc_id")
 
 
@@ -382,7 +382,7 @@ CHUNK = f"""RECURSIVE {SENT}, one AS (SELECT doc_id, unnest(s) AS x, generate_su
 
 
 def _chunks(spark, sf) -> DataFrame:
-    return chunk.chunk(table(spark, sf, "documents").select("doc_id", "text"))
+    return chunk.chunk(spread(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 @query(f"WITH {CHUNK} SELECT doc_id, doc_id || '#c' || chunk_index AS chunk_id, chunk_index::BIGINT AS chunk_index, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM chunks")
@@ -411,7 +411,7 @@ def shingle_counts(spark, sf):
   pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh AS x JOIN sh AS y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
   SELECT a, b, round(c::DOUBLE / (p.n + q.n - c), 9) AS jaccard FROM pr JOIN sz AS p ON p.doc_id = a JOIN sz AS q ON q.doc_id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8""")
 def near_dup_pairs_exact(spark, sf):
-    return r9(dedup.near_pairs(table(spark, sf, "documents"), "doc_id", "text"), "jaccard")
+    return r9(dedup.near_pairs(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "jaccard")
 
 
 @query()

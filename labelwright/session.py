@@ -30,3 +30,12 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`; only Spark opens the path, so any store that it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt anew if it has fewer partitions than the session has cores, as a small table in one row group has.
+
+    For work that is heavy for each row. Tables with enough partitions are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
