@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import words_of
-from labelwright.session import table
+from labelwright.session import spread, table
 
 SHINGLE = 5
 BINS = 256
 #: Probes before an empty bin ranks all filled bins instead; the order of bins goes on, it doesn't begin anew.
 PROBES = 16
 EMPTY = "0" * BINS
+#: Ranges of keys at most, as their bounds are part of the plan. A range is sorted in one task, with spill.
+MAX_RANGES = 4096
 
 
 def _let(value: Column, body) -> Column:
@@ -104,9 +106,9 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     A window over all rows would be one task. Here the keys are cut into ranges at keys that occur, each range is a
     group of its own window, and the first rows of a range are also put, as markers, at the end of the range before.
-    Only the bounds, a few for each shuffle partition, come to the driver.
+    Only the bounds, eight for each shuffle partition and MAX_RANGES at most, come to the driver.
     """
-    groups = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(MAX_RANGES, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.agg(
         F.percentile_approx(key, F.array(*[F.lit(i / groups) for i in range(1, groups)]), F.lit(50 * groups)).alias("bounds"),
         F.min(key).alias("least"),
@@ -132,7 +134,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     marked = docs.withColumn("fingerprint", fingerprint(F.col("text")))
     n = F.length("text")
     part = F.floor(n / 4).cast("int")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm.html_pages import INLINE, Node, labelled_pages, parse
-from labelwright.session import table
+from labelwright.session import spread, table
 
 TAGS = "#root html head title body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th pre blockquote figure figcaption header footer nav aside form button select option label dialog details address center menu ins script style".split()
 #: Words in class, id and role that speak against main text, and for it.
@@ -220,5 +220,5 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "text", potential
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return main_text(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

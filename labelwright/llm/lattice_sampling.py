@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.session import table
+from labelwright.session import spread, table
 
 MODEL = "piece_bpe_32k.model"
 K = 2
@@ -506,4 +506,4 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
 
 
 def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"))
+    return sample_segmentations(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

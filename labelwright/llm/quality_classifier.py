@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import words_of
-from labelwright.session import table
+from labelwright.session import spread, table
 
 TRAIN_ROWS = 6000
 PREDICT_AT = 0.3
@@ -200,5 +200,5 @@ def held_out(key: Column) -> Column:
 def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    result = scored(docs, train(docs, labels))
+    result = scored(spread(docs), train(docs, labels))
     return result.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))

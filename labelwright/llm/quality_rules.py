@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.session import table
+from labelwright.session import spread, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -226,4 +226,4 @@ def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFram
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judge(docs, "doc_id", "text", trained_field(docs, table(spark, sf_dir, "labels")))
+    return judge(spread(docs.select("doc_id", "text")), "doc_id", "text", trained_field(docs, table(spark, sf_dir, "labels")))

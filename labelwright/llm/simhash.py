@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from labelwright.llm.common import cut
 from labelwright.llm.components import connected_components
-from labelwright.session import table
+from labelwright.session import spread, table
 
 SEED = 42
 TILE = 4096
@@ -279,7 +279,7 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return near_duplicates(docs).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )

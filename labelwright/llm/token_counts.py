@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import cut, ensure_checkpoint_dir
-from labelwright.session import table
+from labelwright.session import spread, table
 
 LIMIT = 512
 TOKENIZER = "byte_bpe_50k.json"
@@ -138,4 +138,4 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, c
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
