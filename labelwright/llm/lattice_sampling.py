@@ -493,9 +493,9 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
                         pa.array([s.rank for s in found], pa.int32()),
                         ids,
                         pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array([s.log_prob for s in found], pa.float64()),
-                        pa.array([math.exp(s.log_inclusion) for s in found], pa.float64()),
-                        pa.array([s.log_inclusion for s in found], pa.float64()),
+                        pa.array([round(s.log_prob, 6) for s in found], pa.float64()),  # later digits depend on what a batch holds
+                        pa.array([math.exp(round(s.log_inclusion, 6)) for s in found], pa.float64()),
+                        pa.array([round(s.log_inclusion, 6) for s in found], pa.float64()),
                         pa.array(back, pa.bool_()),
                     ],
                     [key, *ADDED],

@@ -9,13 +9,13 @@ fingerprints with at most `radius` differing bits agree in at least parts - radi
 of some choice of that many runs. More parts make longer bucket keys: their number follows from the number of different
 fingerprints, so that buckets stay small as the input grows. Buckets of one are dropped. A bucket is compared as one
 tile; one with more than TILE fingerprints is split into tiles by bit count and hash, and only those pairs of tiles are
-made whose bit counts differ by at most the radius. From each pair of tiles come not all links but a spanning set: every
+made whose bit counts lie in the same band, as wide as the radius, or in neighbouring ones. From each pair of tiles come not all links but a spanning set: every
 fingerprint is linked to the smallest of its component within the pair, which keeps every component whole.
 
 `keep_one_of_each` keeps one document of each group of texts with a Jaccard likeness of `similarity` or more over k-word
-shingles. At 0.8 fingerprints may differ in 20 bits and more, too many for buckets of equal bits; so there the buckets are
-bands of min-hashes (a pair at 0.8 misses all 24 once in 300,000 times), compared in the same tiles with a wide radius, and
-the groups that this gives are then split by exact likenesses of their shingle sets.
+shingles. At 0.8 fingerprints may differ in 20 of 64 bits and more, too many for buckets of equal bits; so there the buckets
+are bands of min-hashes (a pair at 0.8 misses all 24 once in 300,000 times), fingerprints of 256 bits are compared in the
+same tiles with a wide radius, and the groups that this gives are then split by exact likenesses of their shingle sets.
 
 Cases: equal fingerprints are grouped before anything is compared, so thousands of copies are one entry; a null text
 counts as empty; texts without words have fingerprint zero and are linked like others; fewer words than a shingle make
@@ -44,26 +44,32 @@ TILE = 4096
 MEAN_BUCKET = 16
 
 
-def simhash(text: str | None, k: int) -> int:
-    """The fingerprint of a text, unsigned."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only blanks, tabs and line ends part words
-    if not words:
-        return 0
-    if len(words) < k:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    h = np.array(hashes, dtype=np.uint64)
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (counts * 2 > len(h)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits((counts * 2 > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def gram_hashes(text: str | None, k: int) -> np.ndarray:
+    """Hashes of a text's k-word shingles in order, repeats included; of all its words if they are fewer; none without words."""
+    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only blanks, tabs and line ends part words
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def simhash(text: str | None, k: int) -> int:
+    """The fingerprint of a text, unsigned."""
+    return _majority(gram_hashes(text, k))
 
 
 def fingerprints(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
@@ -96,15 +102,15 @@ def _bucket_keys(fp: Column, radius: int, parts: int) -> Column:
 
 
 def spanning_links(fps: np.ndarray, nodes: np.ndarray, radius: int, tile: int = 256) -> list[tuple[int, int]]:
-    """Links (larger, smaller) that join every node to the smallest of its component. `fps`: unsigned, one for each node.
+    """Links (larger, smaller) that join every node to the smallest of its component. `fps`: unsigned, a row of words for each node.
 
     Components are grown one after another: a tile of the component's newest fingerprints is compared with all that no
     component has yet and whose bit counts are within the radius of the tile's. So a fingerprint is compared no more once
     it is linked, and a thousand near copies cost about as many comparisons, not their square.
     """
     if len(fps) == 2:
-        return [(int(max(nodes)), int(min(nodes)))] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
-    pops = np.bitwise_count(fps).astype(np.int64)
+        return [(int(max(nodes)), int(min(nodes)))] if int(np.bitwise_count(fps[0] ^ fps[1]).sum()) <= radius else []
+    pops = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(pops, kind="stable")
     fps, nodes, pops = fps[order], nodes[order], pops[order]
     links: list[tuple[int, int]] = []
@@ -118,7 +124,8 @@ def spanning_links(fps: np.ndarray, nodes: np.ndarray, radius: int, tile: int =
             near = np.zeros(hi - lo, bool)
             for one in range(lo, hi, 8 * tile):
                 part = fps[one : min(hi, one + 8 * tile)]
-                near[one - lo : one - lo + len(part)] = (np.bitwise_count(block[:, None] ^ part[None, :]) <= radius).any(axis=0)
+                apart = sum(np.bitwise_count(block[:, None, w] ^ part[None, :, w]).astype(np.int16) for w in range(fps.shape[1]))
+                near[one - lo : one - lo + len(part)] = (apart <= radius).any(axis=0)
             if near.any():
                 hit = np.concatenate((np.zeros(lo, bool), near, np.zeros(len(fps) - hi, bool)))
                 newest, newest_pops = np.concatenate((newest, fps[hit])), np.concatenate((newest_pops, pops[hit]))
@@ -162,15 +169,17 @@ def tile_pairs(rows: DataFrame, cuts: Column, by: Column, reach: int) -> DataFra
 
 
 def links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """`keyed`: columns key (a bucket), node and fp, all bigint. Gives links a, b that join exactly the nodes of each component within each bucket."""
+    """`keyed`: columns key (a bucket) and node, bigint, and fp, an array of as many bigints for all. Gives links a, b that join exactly the nodes of each component within each bucket."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(counts, "key").select("key", "node", "fp", F.ceil(F.col("n") / tile).cast("int").alias("cuts"), F.bit_count("fp").cast("int").alias("pop"))
-    dealt = tile_pairs(met, F.col("cuts"), F.col("pop"), radius).select("key", "lo", "hi", "node", "fp")
+    pop = F.aggregate("fp", F.lit(0), lambda acc, w: acc + F.bit_count(w).cast("int"))
+    met = keyed.join(counts, "key").select("key", "node", "fp", F.ceil(F.col("n") / tile).cast("int").alias("cuts"), F.floor(pop / radius).cast("int").alias("band"))
+    dealt = tile_pairs(met, F.col("cuts"), F.col("band"), 1).select("key", "lo", "hi", "node", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in groups_of(batches, ["key", "lo", "hi"]):
-            found += spanning_links(group.column("fp").to_numpy().view(np.uint64), group.column("node").to_numpy(), radius)
+            fps = group.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
+            found += spanning_links(fps, group.column("node").to_numpy(), radius)
             if len(found) > 50_000:
                 yield _as_batch(found)
                 found = []
@@ -189,7 +198,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     marked = cut(fingerprints(docs, text, key, k))
     groups = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
     keys = _bucket_keys(F.col("fp"), radius, parts_for(groups.count(), radius))
-    roots = connected_components(links(groups.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), "fp"), radius))
+    roots = connected_components(links(groups.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
@@ -197,20 +206,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
 
 
 BANDS, BAND_ROWS = 24, 4
-#: Bits in which texts at a likeness of 0.8 may differ: 9.7 on average, with a standard deviation of 2.9.
-WIDE_RADIUS = 24
+#: A wide fingerprint has four words. At a likeness of 0.8 it differs in 39 bits of 256 on average, with a standard
+#: deviation of 5.7; at 0.4 in 79.
+WIDE_WORDS = 4
+WIDE_RADIUS = 62
 #: Texts in a tile when shingle sets are compared.
-TEXT_TILE = 128
+TEXT_TILE = 512
 _FACTORS = np.random.default_rng(12).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """Sorted different hashes of a text's k-word shingles; of all its words if they are fewer; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    """Sorted different hashes of a text's shingles."""
+    return np.unique(gram_hashes(text, k))
+
+
+def wide_simhash(grams: np.ndarray) -> list[int]:
+    """A fingerprint of WIDE_WORDS words, signed, from hashes of shingles; each word takes the hashes mixed another way."""
+    words = [_majority(grams if w == 0 else (grams ^ (grams >> np.uint64(29))) * _FACTORS[0, w] ^ _FACTORS[1, w]) for w in range(WIDE_WORDS)]
+    return np.array(words, np.uint64).view(np.int64).tolist()
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -253,12 +266,13 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            fps = np.fromiter((simhash(t, k) for t in texts), np.uint64, len(texts))
-            bands = [pa.array(band_keys(shingle_hashes(t, k))) for t in texts]
+            grams = [gram_hashes(t, k) for t in texts]
+            fps = pa.array([wide_simhash(g) for g in grams], pa.list_(pa.int64()))
+            bands = [pa.array(band_keys(np.unique(g))) for g in grams]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.concat_arrays([pa.array([], pa.int64()), *bands]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), pa.array(fps.view(np.int64)), keys], ["_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), fps, keys], ["_id", "node", "fp", "keys"])
 
-    marked = cut(firsts.mapInArrow(sketch, "_id bigint, node bigint, fp bigint, keys array<bigint>"))
+    marked = cut(firsts.mapInArrow(sketch, "_id bigint, node bigint, fp array<bigint>, keys array<bigint>"))
     texts = marked.join(least, "node").where(F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
     groups = connected_components(links(texts.select(F.explode("keys").alias("key"), "node", "fp"), WIDE_RADIUS))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))

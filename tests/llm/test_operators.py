@@ -300,7 +300,7 @@ def test_large_buckets_are_split_exactly(spark):
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 25, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 25, dtype=np.uint64)) for s in seeds])).view(np.int64).tolist()
-    keyed = spark.createDataFrame([(1, f, f) for f in fps], "key bigint, node bigint, fp bigint")
+    keyed = spark.createDataFrame([(1, f, [f]) for f in fps], "key bigint, node bigint, fp array<bigint>")
     got = {r["node"]: r["root"] for r in connected_components(simhash.links(keyed, 2, tile=16)).collect()}
     roots = components_of(len(fps), lambda a, b: ((fps[a] ^ fps[b]) % 2**64).bit_count() <= 2)
     groups = collections.defaultdict(list)
