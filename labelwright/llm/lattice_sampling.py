@@ -46,7 +46,7 @@ MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 #: Words whose lattices a task remembers, and words that are expanded at once.
-MEMO = 400_000
+MEMO = 300_000
 CHUNK = 60_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the hashes of pieces; of 64 bits, so that no two texts in question are likely to share one.
