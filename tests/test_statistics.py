@@ -1,12 +1,14 @@
 """Hand-computed values of the statistics, and properties that hold for any input."""
 
+import datetime
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelwright.functions.intervals import binomial_two_sided, wilson
+from labelwright import queries
+from labelwright.functions.intervals import binomial_p, binomial_two_sided, wilson
 from labelwright.operators import agreement as A
 from labelwright.operators import drift as D
 from labelwright.operators import evaluate as E
@@ -107,6 +109,34 @@ def test_binomial(spark):
         assert p == pytest.approx(min(1.0, 2 * sum(math.comb(n, k) for k in range(min(a, b) + 1)) / 2**n) if n else 1.0, rel=1e-9)
 
 
+def test_binomial_of_large_counts(spark):
+    for a, b in [(1, 1), (1, 2), (0, 5), (3, 1071), (40, 61), (950, 1050), (1200, 3100)]:
+        n = a + b
+        want = min(1.0, 2 * sum(math.comb(n, k) for k in range(min(a, b) + 1)) / 2**n)
+        assert binomial_p(a, b) == pytest.approx(want, rel=1e-11)
+    # Beyond an int; there the normal distribution is near enough.
+    a, b = 2 * 10**9, 2 * 10**9 + 100_000
+    (got,) = spark.createDataFrame([(a, b)], "a bigint, b bigint").select(binomial_two_sided(F.col("a"), F.col("b"))).first()
+    assert got == pytest.approx(math.erfc((b - a - 1) / math.sqrt(2 * (a + b))), rel=1e-6)
+    assert spark.createDataFrame([(1, None)], "a bigint, b bigint").select(binomial_two_sided(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_paired_raters_use_all_events(spark, tmp_path):
+    """Against a loop over the same integer arithmetic, on events whose ids pass 400."""
+    at = datetime.datetime(2024, 1, 1)
+    events = [(i, i % 7, at, queries.TYPES[i * i % 5]) for i in range(1500)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, ts timestamp, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    rater = lambda i, t, n, m: None if i % 11 == n else t if i * m % 100 < 85 else queries.TYPES[(i * 17 + n) % 5]
+    pairs = [(t, rater(i, t, 1, 7919), rater(i, t, 2, 104729)) for i, _, _, t in events]
+    b01 = sum(x == t != y for t, x, y in pairs if x and y)
+    b10 = sum(y == t != x for t, x, y in pairs if x and y)
+    assert queries.mcnemar_discordant(spark, str(tmp_path)).first() == (b01, b10)
+    row = queries.mcnemar_exact_p(spark, str(tmp_path)).first()
+    n = b01 + b10
+    want = min(1.0, 2 * sum(math.comb(n, k) for k in range(min(b01, b10) + 1)) / 2**n)
+    assert (row["b01"], row["b10"], row["odds"], row["p_value"]) == (b01, b10, round(b01 / b10, 9), pytest.approx(want, abs=1e-8))
+
+
 def test_calibration_bins_hold_upper_edges(spark):
     rows = [(c, True) for c, n in CONFIDENCES.items() for _ in range(n)]
     df = spark.createDataFrame(rows, "confidence double, correct boolean")
