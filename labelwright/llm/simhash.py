@@ -221,7 +221,7 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
 
 
 def wide_simhash(grams: np.ndarray) -> list[int]:
-    """A fingerprint of WIDE_WORDS words, signed, from hashes of shingles; each word takes the hashes mixed another way."""
+    """A fingerprint of WIDE_WORDS words, signed, from different hashes of shingles: WIDE_RADIUS holds for sets, and a passage that one text repeats moves no bit. Each word takes the hashes mixed another way."""
     words = [_majority(grams if w == 0 else (grams ^ (grams >> np.uint64(29))) * _FACTORS[0, w] ^ _FACTORS[1, w]) for w in range(WIDE_WORDS)]
     return np.array(words, np.uint64).view(np.int64).tolist()
 
@@ -266,9 +266,9 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            grams = [gram_hashes(t, k) for t in texts]
-            fps = pa.array([wide_simhash(g) for g in grams], pa.list_(pa.int64()))
-            bands = [pa.array(band_keys(np.unique(g))) for g in grams]
+            sets = [shingle_hashes(t, k) for t in texts]
+            fps = pa.array([wide_simhash(g) for g in sets], pa.list_(pa.int64()))
+            bands = [pa.array(band_keys(g)) for g in sets]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.concat_arrays([pa.array([], pa.int64()), *bands]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), fps, keys], ["_id", "node", "fp", "keys"])
 

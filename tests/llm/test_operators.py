@@ -325,6 +325,18 @@ def test_one_of_each_is_kept(spark):
     assert simhash.keep_one_of_each(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_with_repeated_lines_are_found(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for n, times in [(300, 6), (300, 8), (300, 10), (300, 10), (1000, 15), (1000, 15)]:
+        words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:60] + words[40:60] * times + words[60:]))]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    roots = components_of(len(rows), lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    assert sorted(set(roots)) == list(range(0, len(rows), 2))
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs(spark, rows)).collect()) == sorted(set(roots))
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 def brute_counts(text):
     text = text or ""
