@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +28,16 @@ def stratified_split(rows: DataFrame, stratum: str, id_col: str, share: float =
 def predict(rows: DataFrame, id_col: str, text_col: str, label_col: str, max_features: int = 5000, c: float = 1.0, seed: int = 7) -> DataFrame:
     """id, label, predicted of the test half; vocabulary and model come from the training half alone.
 
-    Features are one array a document over at most `max_features` terms; numbers of terms come from a table of that size.
+    Features are a sparse vector a document over at most `max_features` terms; numbers of terms come from a table of that size.
     """
     split = cut(stratified_split(rows.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")), "label", "id", 0.5, seed))
     weights = tfidf(split, "id", "text", max_features, None, 2, True)
     train_terms = weights.join(split.where("NOT is_test").select("id"), "id", "left_semi").select("term").distinct()
     numbered = cut(train_terms.orderBy("term").withColumn("at", F.row_number().over(Window.orderBy("term")) - 1))
     width = numbered.count()
-    vectors = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "weight"))).alias("w"))
-    filled = split.join(vectors, "id", "left")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(0, width - 1))), lambda i: F.coalesce(F.element_at(F.coalesce("w", F.create_map().cast("map<int,double>")), i), F.lit(0.0)))
-    data = cut(filled.select("id", "label", "is_test", dense.alias("x"))).withColumn("features", array_to_vector("x")).drop("x")
+    entries = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("w"))
+    sparse = F.udf(lambda at, weight: Vectors.sparse(max(1, width), at or [], weight or []), VectorUDT())
+    data = cut(split.join(entries, "id", "left").select("id", "label", "is_test", sparse("w.at", "w.weight").alias("features")))
     train = data.where("NOT is_test")
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
     n = train.count()

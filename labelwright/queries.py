@@ -561,7 +561,7 @@ def synthetic_taxonomy(spark, sf):
 def baseline_lr_accuracy(spark, sf):
     """The trained baseline on the held-out half of the labelled documents."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality")
-    got = baseline.predict(rows, "doc_id", "text", "quality", max_features=500)
+    got = baseline.predict(rows, "doc_id", "text", "quality")
     return agreement.accuracy(agreement.confusion(got, "label", "predicted"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labelwright import queries
 from labelwright.functions import text as T
 from labelwright.operators import adversarial, annotate, baseline, chunk, dedup, responses, taxonomy
 
@@ -205,3 +206,12 @@ def test_baseline_learns(spark):
     rows = spark.createDataFrame([(i, ("good fine sunny" if i % 2 else "bad poor rainy") + f" day{i % 5}", "yn"[i % 2]) for i in range(40)], "i bigint, t string, y string")
     got = baseline.predict(rows, "i", "t", "y", max_features=50).collect()
     assert len(got) == 20 and all(r["label"] == r["predicted"] for r in got)
+
+
+def test_baseline_query_uses_rare_terms(spark, tmp_path):
+    """599 words and bigrams are in every document, the two that tell the labels apart in half of them each."""
+    common = " ".join(f"common{i}" for i in range(300))
+    spark.createDataFrame([(i, f"{common} {'good' if i % 2 else 'bad'}") for i in range(40)] + [(40, None), (41, "")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    row = queries.baseline_lr_accuracy(spark, str(tmp_path)).first()
+    assert row["n"] == 20 and row["n_correct"] >= 19
