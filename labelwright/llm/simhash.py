@@ -19,7 +19,7 @@ same tiles with a wide radius, and the groups that this gives are then split by
 
 Cases: equal fingerprints are grouped before anything is compared, so thousands of copies are one entry; a null text
 counts as empty; texts without words have fingerprint zero and are linked like others; fewer words than a shingle make
-one shingle; rows that repeat an id are kept; rows with a null id are fingerprinted and belong to their component, whose
+one shingle; rows that repeat an id are kept by `near_duplicates`; there rows with a null id are fingerprinted and belong to their component, whose
 id is the smallest that isn't null; an empty table gives an empty result. Texts are processed whole.
 """
 
@@ -258,7 +258,8 @@ def alike_links(sets: dict[int, np.ndarray], similarity: float) -> list[tuple[in
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group. Rows with a null id all stay; rows that repeat an id and a text stay or go together."""
+    """One row of each group of `docs`: of its smallest id, and of one text (the smallest digest) where several have that id. A null
+    id comes after all others, so such a row stays only where its group has no id. Of rows that repeat an id and a text one stays."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     least = cut(docs.groupBy(node.alias("node")).agg(F.min(F.col(key).cast("bigint")).alias("least")))
     firsts = docs.select(F.col(key).cast("bigint").alias("_id"), node.alias("node"), F.col(text).alias("_text"))
@@ -288,8 +289,11 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     verified = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare, "a bigint, b bigint").distinct()
     roots = connected_components(verified)
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("_kept")).select("_kept").where("_kept IS NOT NULL")
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    first = F.struct(F.col("least").isNull().alias("_no_id"), F.coalesce("least", F.lit(0)).alias("_id"), F.col("node").alias("_node"))
+    kept = rooted.groupBy("root").agg(F.min(first).alias("first")).select("first.*")
+    own = F.col(key).cast("bigint")
+    rows = docs.withColumns({"_no_id": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_node": node})
+    return rows.join(kept, ["_no_id", "_id", "_node"], "left_semi").dropDuplicates(["_no_id", "_id", "_node"]).select(*docs.columns)
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,6 +337,14 @@ def test_copies_with_repeated_lines_are_found(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs(spark, rows)).collect()) == sorted(set(roots))
 
 
+def test_one_row_of_each_is_kept(spark):
+    """Null ids, repeated rows and an id with two texts."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a), (1, a), (None, a), (None, a + " more"), (None, b), (None, b), (2, c), (5, c + " more"), (5, d), (7, e), (7, e + " more"), (8, e)]
+    got = collections.Counter((r["doc_id"], r["text"][0]) for r in simhash.keep_one_of_each(docs(spark, rows)).collect())
+    assert got == {(1, "a"): 1, (None, "b"): 1, (2, "c"): 1, (5, "d"): 1, (7, "e"): 1}
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 def brute_counts(text):
     text = text or ""
