@@ -16,12 +16,14 @@ rejected. A template without labels has purity 0.5 and is let through. Labels ar
 verdicts of the rules on the urls that they decide.
 
 Cases: a null url, or one without `://`, has an empty host and an empty path and forms templates like any other; repeated
-urls count as often as they occur; paths deeper than `max_depth` keep their first segments and end in `**`; an empty
-table gives an empty result. Columns of the input with the operator's names are replaced.
+urls count as often as they occur; the tree grows to the last segment of the deepest path, and a path that is alone at its
+node takes its remaining segments at once, as none of them can be split or merged; an empty table gives an empty result.
+Columns of the input with the operator's names are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,6 @@ from labelwright.session import table
 FAN_OUT = 8
 MIN_SHARE = 0.05
 REJECT_AT = 0.8
-MAX_DEPTH = 8
 Z = 1.96
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,47 +64,50 @@ def decide(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES)
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def masked_segments(path: Column, max_depth: int = MAX_DEPTH) -> Column:
-    segments = F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "<n>"), "/")
-    return F.when(F.size(segments) > max_depth, F.concat(F.slice(segments, 1, max_depth), F.array(F.lit("**")))).otherwise(segments)
+def masked_segments(path: Column) -> Column:
+    return F.split(F.regexp_replace(F.regexp_replace(path, r"^/", ""), r"[0-9]+", "<n>"), "/")
 
 
 def _purity(bad: Column, good: Column) -> Column:
     return (bad + 1) / (bad + good + 2)
 
 
-def path_templates(urls: DataFrame, host: str = "host", path: str = "path", bad: str = "bad", max_depth: int = MAX_DEPTH) -> DataFrame:
+def path_templates(urls: DataFrame, host: str = "host", path: str = "path", bad: str = "bad") -> DataFrame:
     """One row per host and masked path: `_host`, `_segments`, its `template`, and the template's `n_urls`, `n_bad`, `n_good`, `purity`, `rejected`.
 
     `bad` is a boolean label, null where there is none.
     """
     tree = (
-        urls.groupBy(F.col(host).alias("_host"), masked_segments(F.col(path), max_depth).alias("_segments"))
+        urls.groupBy(F.col(host).alias("_host"), masked_segments(F.col(path)).alias("_segments"))
         .agg(F.count("*").alias("n"), F.count_if(F.col(bad)).alias("b"), F.count_if(~F.col(bad)).alias("g"))
         .withColumn("_template", F.array().cast("array<string>"))
     )
+    unfinished = F.coalesce(F.size("_segments"), F.lit(0)) > F.size("_template")
     tree = cut(tree)
-    deepest = tree.agg(F.max(F.size("_segments"))).first()[0] or 0
-    for d in range(deepest):
-        tree = cut(_grow(tree, d))
+    done, live, d = [tree.where(~unfinished)], tree.where(unfinished), 0
+    while not live.isEmpty():
+        grown = cut(_grow(live, d))
+        done.append(grown.where(~unfinished))
+        live, d = grown.where(unfinished), d + 1
+    tree = functools.reduce(DataFrame.unionByName, done)
     found = tree.groupBy("_host", "_template").agg(F.sum("n").alias("n_urls"), F.sum("b").alias("n_bad"), F.sum("g").alias("n_good"))
     found = found.withColumn("purity", _purity(F.col("n_bad"), F.col("n_good"))).withColumn("rejected", F.col("purity") >= REJECT_AT)
     return tree.select("_host", "_segments", "_template").join(found, ["_host", "_template"]).withColumn("template", F.concat(F.lit("/"), F.array_join("_template", "/"))).drop("_template")
 
 
 def _grow(tree: DataFrame, d: int) -> DataFrame:
-    """The tree with the token of level d added to each template."""
-    live = tree.where(F.size("_segments") > d).withColumn("child", F.get("_segments", F.lit(d)))
+    """The tree, of paths with a level d, with the token of level d added to each template; with all that follow where a path is alone at its node."""
+    live = tree.withColumn("child", F.get("_segments", F.lit(d)))
     after = F.get("_segments", F.lit(d + 1))
     kind = F.when(after.isNull(), F.lit("end")).when(after.contains("<n>"), F.lit("number")).otherwise(F.lit("word"))
-    kids = live.groupBy("_host", "_template", "child").agg(F.sum("n").alias("kn"), F.sum("b").alias("kb"), F.sum("g").alias("kg"), F.max_by(kind, F.col("n")).alias("kind"))
+    kids = live.groupBy("_host", "_template", "child").agg(F.sum("n").alias("kn"), F.sum("b").alias("kb"), F.sum("g").alias("kg"), F.max_by(kind, F.col("n")).alias("kind"), F.count("*").alias("paths"))
     p = _purity(F.col("kb"), F.col("kg"))
     label = F.when(F.col("kb") + F.col("kg") == 0, F.lit("none")).when(p >= REJECT_AT, F.lit("bad")).when(p <= 1 - REJECT_AT, F.lit("good")).otherwise(F.lit("mixed"))
     kids = kids.withColumn("label", label)
-    nodes = kids.groupBy("_host", "_template").agg(F.count("*").alias("fan"), F.sum("kn").alias("total"))
+    nodes = kids.groupBy("_host", "_template").agg(F.count("*").alias("fan"), F.sum("kn").alias("total"), (F.sum("paths") == 1).alias("alone"))
     kids = kids.join(nodes, ["_host", "_template"]).withColumn("variable", (F.col("fan") >= FAN_OUT) & (F.col("kn") < MIN_SHARE * F.col("total")))
     pooled = (
-        kids.where(~F.col("variable") & (F.col("child") != "**"))
+        kids.where(~F.col("variable"))
         .groupBy("_host", "_template", "kind", "label")
         .agg(F.count("*").alias("pn"), F.sum("kb").alias("pb"), F.sum("kg").alias("pg"))
     )
@@ -111,10 +115,10 @@ def _grow(tree: DataFrame, d: int) -> DataFrame:
     q = _purity(F.col("pb"), F.col("pg"))
     error = F.sqrt(q * (1 - q) * (1 / (F.col("kb") + F.col("kg") + 2) + 1 / (F.col("pb") + F.col("pg") + 2)))
     alike = (F.col("pn") > 1) & (F.abs(p - q) <= Z * error)
-    token = F.when(F.col("child") == "**", F.col("child")).when(F.col("variable"), F.lit("*")).when(alike, F.concat(F.lit("{"), "kind", F.lit(":"), "label", F.lit("}"))).otherwise(F.col("child"))
-    tokens = kids.select("_host", "_template", "child", token.alias("token"))
-    named = tree.withColumn("child", F.get("_segments", F.lit(d))).join(tokens, ["_host", "_template", "child"], "left")
-    grown = F.when(F.col("token").isNull(), F.col("_template")).otherwise(F.concat("_template", F.array("token")))
+    token = F.when(F.col("variable"), F.lit("*")).when(alike, F.concat(F.lit("{"), "kind", F.lit(":"), "label", F.lit("}"))).otherwise(F.col("child"))
+    tokens = kids.select("_host", "_template", "child", "alone", token.alias("token"))
+    named = live.join(tokens, ["_host", "_template", "child"])
+    grown = F.concat("_template", F.when(F.col("alone"), F.slice("_segments", F.lit(d + 1), F.size("_segments"))).otherwise(F.array("token")))
     return named.select("_host", "_segments", "n", "b", "g", grown.alias("_template"))
 
 

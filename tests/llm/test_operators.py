@@ -223,6 +223,18 @@ def test_path_templates(spark):
     assert not got["/about"]["rejected"]
 
 
+def test_deep_path_templates(spark):
+    """Labels that differ below the eighth segment, variable segments there, and one very deep path."""
+    top = "/a/b/c/d/e/f/g/h"
+    rows = [("h", f"{top}/spam/{i}/x", True) for i in range(20)] + [("h", f"{top}/blog/{i}", False) for i in range(20)]
+    rows += [("h", f"{top}/item/title-{chr(97 + i)}/x", None) for i in range(26)] + [("h", "/deep" * 300, None)]
+    got = {r["template"]: r for r in url_filters.path_templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert {t: r["n_urls"] for t, r in got.items()} == {f"{top}/spam/<n>/x": 20, f"{top}/blog/<n>": 20, f"{top}/item/*/x": 26, "/deep" * 300: 1}
+    assert [t for t, r in got.items() if r["rejected"]] == [f"{top}/spam/<n>/x"]
+    page = spark.createDataFrame([(1, f"https://h.io{top}/blog/1")], "page_id bigint, url string")
+    assert url_filters.judge_urls(page).first()["template"] == f"{top}/blog/<n>"
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 def test_chats_read_back(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|x|>", "<<|", "<\\\\|", "\n", "", None, "a<|im_end|>\nb", "%0A %25", "$1 \\1"]
