@@ -215,3 +215,14 @@ def test_baseline_query_uses_rare_terms(spark, tmp_path):
     spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     row = queries.baseline_lr_accuracy(spark, str(tmp_path)).first()
     assert row["n"] == 20 and row["n_correct"] >= 19
+
+
+def test_top_terms_of_a_rare_language(spark, tmp_path):
+    """Words and bigrams of one language alone outnumber any vocabulary that the other's would have to enter."""
+    rows = [(i, " ".join(f"word{j}" for j in range(1200)), "en") for i in range(3)] + [(9, "seltenes wort seltenes wort", "de")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["group"], r["rank"]): (r["term"], r["weight"]) for r in queries.tfidf_top_terms(spark, str(tmp_path)).collect()}
+    tf = {"seltenes": 2, "seltenes wort": 2, "wort": 2, "wort seltenes": 1}
+    norm = sum(n * n for n in tf.values()) ** 0.5  # the idf is the same for all four
+    assert [got[k] for k in sorted(got) if k[0] == "de"] == [(t, pytest.approx(n / norm, abs=1e-6)) for t, n in sorted(tf.items(), key=lambda x: (-x[1], x[0]))]
+    assert sum(k[0] == "en" for k in got) == 8
