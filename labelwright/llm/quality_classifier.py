@@ -187,10 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
-    """`docs` with `score`; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c != "score"]
-    counted = docs.withColumns(statistics(F.col(text)))
-    return counted.select(*kept, *[e.alias(f"_s_{n}") for n, e in derived().items()]).select(*kept, model.score([F.col(f"_s_{n}") for n in derived()]).alias("score"))
+    """`docs` with `score`; a column of that name is replaced, all others are kept, whatever their names.
+
+    The statistics of a row are fields of one struct, and the score comes out of a generator of one element: a filter on
+    the score is not pushed below a generator, where it would compute the statistics again for every rule.
+    """
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "score"]
+    counted = docs.select(F.struct("*").alias("_row"), *[e.alias(n) for n, e in statistics(F.col(f"`{text}`")).items()])
+    inputs = counted.select("_row", *[e.alias(f"_s_{n}") for n, e in derived().items()])
+    score = model.score([F.col(f"_s_{n}") for n in derived()])
+    return inputs.select("_row", F.explode(F.array(score)).alias("_score")).select(*kept, F.col("_score").alias("score"))
 
 
 def held_out(key: Column) -> Column:
