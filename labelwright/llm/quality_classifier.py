@@ -45,14 +45,14 @@ def statistics(text: Column) -> dict[str, Column]:
         "_c_chars": F.length(t),
         "_c_words": F.size(words_of(t)),
         "_c_distinct": F.size(F.array_distinct(words_of(t))),
-        "_c_upper": F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-        "_c_symbols": F.length(t) - F.length(F.translate(t, "#*$%&|<>", "")),
+        "_c_upper": _count(t, "[A-Z]"),
+        "_c_symbols": _count(t, r"[#*$%&|<>]"),
         "_c_pipes": F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))),
         "_c_bangs": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
-        "_c_digits": F.length(t) - F.length(F.translate(t, "0123456789", "")),
-        "_c_ends": F.length(t) - F.length(F.translate(t, ".?:;", "")),
+        "_c_digits": _count(t, "[0-9]"),
+        "_c_ends": _count(t, "[.?:;]"),
         "_c_commas": F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))),
-        "_c_marks": F.length(t) - F.length(F.translate(t, "@/_=+{}[]()\\~^", "")),
+        "_c_marks": _count(t, r"[@/_=+{}\[\]()\\~^]"),
         "_c_lines": F.size(F.split(t, "\n")),
         "_c_distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))),
         "_c_twice": _count(t, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])"),
