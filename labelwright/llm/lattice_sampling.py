@@ -17,7 +17,9 @@ is a chain of small lattices. A search node has two children: one edge that leav
 and all other edges there together. Along a path all nodes have the number of the path's top node, and the rest at each
 place gets a Gumbel around its log-probability held below that number; so all words of many texts are expanded at once
 with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered by a Python worker,
-up to MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone.
+up to MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone. Log-probabilities of
+edges and the running sums that draw them are held in fixed point, whose sums are the same in any order, so that a row's
+result doesn't depend on the rows that are expanded with it.
 
 Cases: null texts count as empty; an empty text has one segmentation, of no pieces; texts with fewer segmentations than
 k give fewer rows; rows that repeat a key give the same draws; `▁` in a text reads back as a blank, as the model writes
@@ -28,14 +30,14 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 import string
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +47,11 @@ from labelwright.session import spread, table
 MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
-#: Words whose lattices a task remembers, and words that are expanded at once.
+#: Words whose lattices a worker remembers, and bytes of texts that are expanded at once (one text at least).
 MEMO = 300_000
-CHUNK = 60_000
+CHUNK = 500_000
+#: Units of the fixed-point numbers: of log-probabilities, and of probabilities.
+_LOG_UNIT, _UNIT = 2.0**-36, 2.0**-40
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Base of the hashes of pieces; of 64 bits, so that no two texts in question are likely to share one.
 _BASE = 0xD6E8FEB86659FD93
@@ -67,9 +71,13 @@ class Vocabulary:
     log_weights: list[float]
     byte_ids: list[int]
     spelling: list[bytes]
+    #: The spellings one after another, and where each begins and the last ends.
+    spelt: np.ndarray
+    spelt_at: np.ndarray
     longest: int
-    #: Finds the words of a text in which blanks are `▁`.
-    unit: re.Pattern
+    #: Of each byte, whether it is a control character that is in no piece; whether a mark that no piece has after a letter.
+    controls: np.ndarray
+    marks: np.ndarray
 
 
 @functools.lru_cache(maxsize=2)
@@ -89,18 +97,18 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             ids[piece], spelling[i] = i, piece.replace("▁", " ").encode()
     starts = {piece[:j]: -1 for piece in ids for j in range(1, len(piece))} | ids
-    return Vocabulary(ids, starts, weights, bytes_of, spelling, max(map(len, ids)), _unit_pattern(ids))
+    spelt_at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, spelling), np.int64, len(spelling)))))
+    return Vocabulary(ids, starts, weights, bytes_of, spelling, np.frombuffer(b"".join(spelling), np.uint8), spelt_at, max(map(len, ids)), *_separators(ids))
 
 
-def _unit_pattern(pieces: Iterable[str]) -> re.Pattern:
-    """A word begins at `▁`s, at a control character and after it, and at a mark after a letter if no piece has that mark after a letter. No piece with anything else than `▁` has a `▁` inside."""
+def _separators(pieces: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Control characters that are in no piece, and marks that no piece has after a letter."""
+    inside = set(chain.from_iterable(pieces))
     joined = {b for piece in pieces for a, b in zip(piece, piece[1:]) if a.isalpha()}
-    marks = re.escape("".join(c for c in string.punctuation if c not in joined))
-    controls = "".join(chr(c) for c in range(32) if not any(chr(c) in piece for piece in pieces))
-    control = re.escape(controls)
-    if not marks:
-        return re.compile(f"[{control}]|▁*[^▁{control}]+|▁+")
-    return re.compile(rf"▁*[^▁{control}{marks}]++(?:(?<=[^\W\d_])(?=[{marks}])|[^▁{control}]*)|▁*[{marks}][^▁{control}]*|[{control}]|▁+")
+    controls, marks = np.zeros(256, bool), np.zeros(256, bool)
+    controls[[c for c in range(32) if chr(c) not in inside]] = True
+    marks[[ord(c) for c in string.punctuation if c not in joined]] = True
+    return controls, marks
 
 
 def decode(ids: list[int], words: Vocabulary) -> str:
@@ -108,8 +116,40 @@ def decode(ids: list[int], words: Vocabulary) -> str:
     return b"".join(map(words.spelling.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def units_of(text: str, words: Vocabulary) -> list[str]:
-    return words.unit.findall("▁" + text.replace(" ", "▁")) if text else []
+_ASCII_LETTER = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+
+
+def _after_letter(blob: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place of some UTF-8 is a letter, as `[^\\W\\d_]` has it."""
+    last = blob[at - 1]
+    out = _ASCII_LETTER[last]
+    wide = np.nonzero(last >= 0x80)[0]
+    if len(wide):
+        four = np.zeros(len(wide), np.uint32)
+        for back in (4, 3, 2, 1):
+            four = (four << np.uint32(8)) | blob[np.maximum(at[wide] - back, 0)]
+        kinds, which = np.unique(four, return_inverse=True)
+        chars = [int(x).to_bytes(4, "big").decode("utf-8", "ignore")[-1:] for x in kinds.tolist()]
+        out[wide] = np.array([c.isalnum() and not c.isdecimal() for c in chars])[which]
+    return out
+
+
+def unit_starts(blob: np.ndarray, begins: np.ndarray, words: Vocabulary) -> np.ndarray:
+    """Where words begin in the UTF-8 of texts, which lie one after another from `begins` and each begin with a blank.
+
+    A word begins at blanks, at a control character and after it, and at the first mark among the characters up to the
+    next blank if that follows a letter: no piece crosses these places.
+    """
+    blank, control = blob == 32, words.controls[blob]
+    start = control.copy()
+    start[1:] |= control[:-1]
+    start[1:] |= blank[1:] & ~blank[:-1]
+    start[begins] = True
+    marks = np.nonzero(words.marks[blob])[0]
+    of = np.searchsorted(np.nonzero(start)[0], marks, "right")
+    firsts = marks[np.diff(of, prepend=0) != 0]
+    start[firsts[_after_letter(blob, firsts)]] = True
+    return np.nonzero(start)[0]
 
 
 class Lattices:
@@ -129,10 +169,12 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.first: dict[str, int] = {}
+        #: A word's UTF-8, with blanks for `▁`, and its first state.
+        self.first: dict[bytes, int] = {}
         self._room: dict[str, np.ndarray] = {}
         self.start = np.zeros(1, np.int64)
-        self.log_q = np.empty(0)
+        #: In units of _LOG_UNIT.
+        self.log_q = np.empty(0, np.int64)
         self.log_rest, self.reach = (np.empty(0, np.float32) for _ in range(2))
         #: A piece's id, or -1 - i for the i-th spelling.
         self.after, self.piece = (np.empty(0, np.int32) for _ in range(2))
@@ -150,12 +192,15 @@ class Lattices:
         room[len(old) : n] = more
         setattr(self, name, room[:n])
 
-    def add(self, units: list[str]) -> None:
+    def add(self, units: list[bytes]) -> None:
         """Builds the lattices of different words that aren't known yet, all at once."""
         if not units:
             return
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        length = np.fromiter(map(len, units), np.int64, len(units))
+        joined = b"".join(units)
+        chars = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        chars[chars == 32] = ord("▁")
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        length = np.add.reduceat((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
         end = np.repeat(np.cumsum(length), length)
         n = len(chars)
         # Pieces that begin at each place, longer and longer, as long as what is read is the beginning of a piece.
@@ -211,34 +256,49 @@ class Lattices:
         rest = 1.0 - q
         rest[likeliest] = np.add.reduceat(without, begin)
         rest[count[at] == 1] = 0.0
-        running = np.cumsum(q)
-        reach = running - (running[begin] - q[begin])[at]
+        part = np.rint(q / _UNIT).astype(np.int64)
+        running = np.cumsum(part)
+        reach = (running - (running[begin] - part[begin])[at]) * _UNIT
         reach[begin + count - 1] = 1.0
         base = len(self.start) - 1
         piece[piece < 0] -= len(self.spellings)
         self.spellings += spellings
         to = at + size
         with np.errstate(divide="ignore"):
+            log_q = np.rint(np.clip(np.log(q), -1e4, 0.0) / _LOG_UNIT).astype(np.int64)
             grown = {
-                "log_q": np.minimum(np.log(q), 0.0), "log_rest": np.log(rest).astype(np.float32), "reach": reach.astype(np.float32), "after": np.where(to == end[at], -1, to + base).astype(np.int32), "piece": piece.astype(np.int32),
+                "log_q": log_q, "log_rest": np.log(rest).astype(np.float32), "reach": reach.astype(np.float32), "after": np.where(to == end[at], -1, to + base).astype(np.int32), "piece": piece.astype(np.int32),
                 "start": len(self.log_q) + np.cumsum(count),
             }
         for name, more in grown.items():
             self._append(name, more)
         self.first.update(zip(units, (base + np.cumsum(length) - length).tolist()))
 
-    def ids_of(self, path: np.ndarray) -> np.ndarray:
-        """The ids of a path's pieces."""
+    def states_of(self, units: pa.LargeBinaryArray) -> np.ndarray:
+        """The first states of different words; lattices that aren't known yet are built."""
+        _, ends, data = units.buffers()
+        places = np.frombuffer(ends, np.int64)[units.offset : units.offset + len(units) + 1].tolist()
+        whole = data.to_pybytes()
+        each = [whole[a:b] for a, b in zip(places, places[1:])]
+        found = list(map(self.first.get, each))
+        new = [i for i, state in enumerate(found) if state is None]
+        self.add([each[i] for i in new])
+        for i in new:
+            found[i] = self.first[each[i]]
+        return np.array(found, np.int64)
+
+    def ids_of(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of some edges, and how many each edge has."""
         ids = self.piece[path]
+        count = np.ones(len(ids), np.int64)
         spelt = np.nonzero(ids < 0)[0]
         if not len(spelt):
-            return ids
-        count = np.ones(len(ids), np.int64)
+            return ids, count
         bytes_of = [self.spellings[-1 - p] for p in ids[spelt].tolist()]
         count[spelt] = list(map(len, bytes_of))
         out = np.repeat(ids, count)
         out[_ranges((np.cumsum(count) - count)[spelt], count[spelt])] = list(chain.from_iterable(bytes_of))
-        return out
+        return out, count
 
 
 @functools.lru_cache(maxsize=1)
@@ -317,18 +377,18 @@ def expand(lat: Lattices, state: np.ndarray, text: np.ndarray, unit: np.ndarray,
         at = lat.after[pick]
         go = at >= 0
         alive, at, step = alive[go], at[go], step[go] + 1
-    if parts:
-        picked, states, word, stepped, h = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    else:
-        picked = states = word = stepped = np.empty(0, np.int64)
-        h = np.empty(0, np.uint64)
-    order = np.argsort(word, kind="stable")  # parts come in order of steps
-    picked, states, word, stepped, h = picked[order], states[order], word[order], stepped[order], h[order]
+    # Parts come by steps; here edges go to their places by word and step.
+    words = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+    count = np.bincount(words, minlength=len(state))
+    goes = (np.cumsum(count) - count - step0)[words] + (np.concatenate([p[3] for p in parts]) if parts else 0)
+    picked, states, word, stepped, h = (np.empty(len(words), t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
+    for i, out in enumerate((picked, states, word, stepped, h)):
+        out[goes] = np.concatenate([p[i] for p in parts]) if parts else 0
     of_text = text[word]
     cut = np.searchsorted(of_text, np.arange(n_texts + 1))
-    run = np.concatenate(([0.0], np.cumsum(lat.log_q[picked])))
-    before = run[:-1] - run[cut[of_text]] + phi[of_text]
-    whole = run[cut[1:]] - run[cut[:-1]] + phi
+    run = np.concatenate((np.zeros(1, np.int64), np.cumsum(lat.log_q[picked])))
+    before = (run[:-1] - run[cut[of_text]]) * _LOG_UNIT + phi[of_text]
+    whole = (run[cut[1:]] - run[cut[:-1]]) * _LOG_UNIT + phi
     open_value, open_at = np.full((n_texts, k), -np.inf), np.full((n_texts, k), -1)
     some = np.nonzero(lat.log_rest[picked] > -np.inf)[0]
     if len(some):
@@ -361,7 +421,7 @@ class Rest:
 def take_edge(lat: Lattices, node: Rest, seed: int) -> tuple[int, Rest | None]:
     """Draws an edge of an open node, which gets the node's number, and what is still left of it, if anything is."""
     edges = np.array([e for e in range(lat.start[node.state], lat.start[node.state + 1]) if e not in node.gone])
-    log_q = lat.log_q[edges]
+    log_q = lat.log_q[edges] * _LOG_UNIT
     q = np.exp(log_q - log_q.max())
     h = _mix(np.array([seed], np.uint64) + _times(node.unit + 1) + _times(7 * node.step + 3))
     at = min(int(np.searchsorted(np.cumsum(q) / q.sum(), _unit(h)[0])), len(edges) - 1)
@@ -382,6 +442,23 @@ class Sample:
     log_inclusion: float
 
 
+@dataclass
+class Samples:
+    """Samples of some texts, by text and rank; the ids of the i-th are ids[ends[i] : ends[i + 1]]."""
+
+    row: np.ndarray
+    rank: np.ndarray
+    ids: np.ndarray
+    ends: np.ndarray
+    log_prob: np.ndarray
+    log_inclusion: np.ndarray
+    round_trip: np.ndarray
+
+    def __iter__(self) -> Iterator[Sample]:
+        for i, (a, b) in enumerate(zip(self.ends[:-1].tolist(), self.ends[1:].tolist())):
+            yield Sample(int(self.row[i]), int(self.rank[i]), self.ids[a:b], float(self.log_prob[i]), float(self.log_inclusion[i]))
+
+
 def log_inclusion(log_prob: float, kappa: float) -> float:
     """ln(1 - exp(-exp(log_prob - kappa)))"""
     x = log_prob - kappa
@@ -390,11 +467,9 @@ def log_inclusion(log_prob: float, kappa: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
 
 
-def sample_texts(texts: list[list[int]], seeds: list[int], lat: Lattices, k: int) -> list[Sample]:
-    """The first k segmentations of each text, given as first states of its words."""
-    n = len(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, n)
-    states = np.fromiter((s for t in texts for s in t), np.int64, int(sizes.sum()))
+def sample_texts(states: np.ndarray, sizes: np.ndarray, seeds: list[int], lat: Lattices, k: int) -> tuple[list[np.ndarray], Samples]:
+    """The first k segmentations of each text: their edges, and the samples without ids. Texts are given as the first states of their words, one text after another, and numbers of words."""
+    n = len(sizes)
     offset = np.cumsum(sizes) - sizes
     text, unit = np.repeat(np.arange(n), sizes), _ranges(np.zeros(n, np.int64), sizes)
     seed = _mix(np.array(seeds, np.uint64))
@@ -433,40 +508,72 @@ def sample_texts(texts: list[list[int]], seeds: list[int], lat: Lattices, k: int
             parts.append((later, np.full(len(later), len(next_who)), np.arange(node.unit, sizes[row]), steps))
             next_who.append(row)
             values.append(node.number)
-            phis.append(node.phi + lat.log_q[edge])
+            phis.append(node.phi + lat.log_q[edge] * _LOG_UNIT)
         if not next_who:
             break
         state, text, unit, step0 = (np.concatenate([p[i] for p in parts]) for i in range(4))
         who = np.array(next_who)
         value, phi = np.array(values, float), np.array(phis, float)
-    out = []
+    paths, rows, ranks, log_probs, inclusions = [], [], [], [], []
     for row in range(n):
         kappa = max((x.number for x in heaps[row]), default=-np.inf)
         for rank, (path, log_prob) in enumerate(taken[row]):
-            out.append(Sample(row, rank, lat.ids_of(path), log_prob, log_inclusion(log_prob, kappa)))
-    return out
+            paths.append(path)
+            rows.append(row)
+            ranks.append(rank)
+            log_probs.append(log_prob)
+            inclusions.append(log_inclusion(log_prob, kappa))
+    none = np.empty(0, np.int64)
+    return paths, Samples(np.array(rows, np.int64), np.array(ranks, np.int32), none, none, np.array(log_probs, float), np.array(inclusions, float), none)
 
 
 def seed_of(key: object) -> int:
     return xxhash.xxh64_intdigest(repr(key).encode(), 3)
 
 
-def encode_texts(texts: list[str | None], keys: list[object], lat: Lattices, k: int) -> Iterator[list[Sample]]:
+def _reads_back(found: Samples, blob: np.ndarray, begins: np.ndarray, sizes: np.ndarray, words: Vocabulary) -> np.ndarray:
+    """Whether the pieces of each sample spell its text."""
+    long = words.spelt_at[found.ids + 1] - words.spelt_at[found.ids]
+    upto = np.concatenate(([0], np.cumsum(long)))[found.ends]
+    out = np.diff(upto) == sizes[found.row]
+    spelt = words.spelt[_ranges(words.spelt_at[found.ids], long)]
+    same = np.nonzero(out)[0]
+    here, there = _ranges(upto[same], sizes[found.row[same]]), _ranges(begins[found.row[same]], sizes[found.row[same]])
+    wrong = np.nonzero(spelt[here] != blob[there])[0]
+    out[np.searchsorted(upto, here[wrong], "right") - 1] = False
+    return out
+
+
+def encode_texts(texts: pa.Array | Sequence[str | None], keys: list[object], lat: Lattices, k: int) -> Iterator[Samples]:
     """Samples of the texts in order, some texts at a time; `row` is the text's number."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
+    length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(length)
     at = 0
     while at < len(texts):
         if len(lat.first) > MEMO:
             lat.clear()
-        first, size, units = at, 0, []
-        while at < len(texts) and (not units or size < CHUNK):
-            units.append(units_of(texts[at] or "", lat.words))
-            size += len(units[-1])
-            at += 1
-        lat.add(list(set(chain.from_iterable(units)).difference(lat.first)))
-        group = [list(map(lat.first.__getitem__, t)) for t in units]
-        found = sample_texts(group, [seed_of(x) for x in keys[first:at]], lat, k)
-        for s in found:
-            s.row += first
+        before = upto[at - 1] if at else 0
+        first, at = at, max(at + 1, int(np.searchsorted(upto, before + CHUNK, "right")))
+        # Blanks are written `▁` in pieces, so that both read alike; each text that isn't empty gets one to begin with.
+        some = pc.replace_substring(pc.fill_null(texts.slice(first, at - first), ""), "▁", " ")
+        blob = b"".join([b" " + t if t else b"" for t in pc.cast(some, pa.binary()).to_pylist()])
+        bytes_ = np.frombuffer(blob, np.uint8)
+        sizes = pc.binary_length(some).to_numpy().astype(np.int64)
+        sizes += sizes > 0
+        begins = np.cumsum(sizes) - sizes
+        starts = unit_starts(bytes_, begins[sizes > 0], lat.words) if len(blob) else np.empty(0, np.int64)
+        ends = np.append(starts, len(blob)).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(blob)]).dictionary_encode()
+        states = lat.states_of(units.dictionary)[units.indices.to_numpy()] if len(starts) else np.empty(0, np.int64)
+        n_units = np.searchsorted(starts, begins + sizes) - np.searchsorted(starts, begins)
+        paths, found = sample_texts(states, n_units, [seed_of(x) for x in keys[first:at]], lat, k)
+        found.ids, count = lat.ids_of(np.concatenate([np.empty(0, np.int64), *paths]))
+        steps = np.concatenate(([0], np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths)))))
+        found.ends = np.concatenate(([0], np.cumsum(count)))[steps]
+        found.round_trip = _reads_back(found, bytes_, begins, sizes, lat.words)
+        found.row += first
         yield found
 
 
@@ -475,31 +582,22 @@ ADDED = {"sample": pa.int32(), "ids": pa.list_(pa.int32()), "n_pieces": pa.int64
 
 def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, alpha: float = ALPHA, path: str | None = None) -> DataFrame:
     """Column `key` and, for each sampled segmentation of the row's text, `sample` (its number from 0), `ids`, `n_pieces`, `log_prob`, `inclusion` and its logarithm, and whether the ids decode to the text."""
-    path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattices(path, alpha)
-        words = lat.words
+        lat = lattices(path or model_path(), alpha)
         for batch in batches:
-            texts, keys = batch.column("_text").to_pylist(), batch.column("_key").to_pylist()
-            for found in encode_texts(texts, keys, lat, k):
-                lists = [s.ids for s in found]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)) if lists else pa.array([], pa.int32()))
-                back = [decode(s.ids.tolist(), words) == (texts[s.row] or "").replace("▁", " ") for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("_key").take(pa.array([s.row for s in found], pa.int64())),
-                        pa.array([s.rank for s in found], pa.int32()),
-                        ids,
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.array([round(s.log_prob, 6) for s in found], pa.float64()),  # later digits depend on what a batch holds
-                        pa.array([math.exp(round(s.log_inclusion, 6)) for s in found], pa.float64()),
-                        pa.array([round(s.log_inclusion, 6) for s in found], pa.float64()),
-                        pa.array(back, pa.bool_()),
-                    ],
-                    [key, *ADDED],
-                )
+            for found in encode_texts(batch.column("_text"), batch.column("_key").to_pylist(), lat, k):
+                columns = [
+                    batch.column("_key").take(pa.array(found.row)),
+                    pa.array(found.rank),
+                    pa.ListArray.from_arrays(pa.array(found.ends.astype(np.int32)), pa.array(found.ids)),
+                    pa.array(np.diff(found.ends)),
+                    pa.array(found.log_prob),
+                    pa.array(np.exp(found.log_inclusion)),
+                    pa.array(found.log_inclusion),
+                    pa.array(found.round_trip),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [key, *ADDED])
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, sample int, ids array<int>, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, round_trip boolean"
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)

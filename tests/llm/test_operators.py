@@ -185,6 +185,50 @@ def test_sampling_of_odd_rows(spark, words):
     assert lattice_sampling.sample_segmentations(docs(spark, ODD).limit(0)).count() == 0
 
 
+def units_by_hand(text, words):
+    """Words of a text by walking over its characters."""
+    out, new, marked, last = [], True, False, ""
+    for c in " " + text.replace("▁", " ") if text else "":
+        control = ord(c) < 32 and words.controls[ord(c)]
+        mark = ord(c) < 128 and words.marks[ord(c)]
+        letter = last.isalnum() and not last.isdecimal()
+        if new or control or (c == " " and last != " ") or (mark and not marked and letter):
+            out.append("")
+            marked = marked and not (new or control or c == " ")
+        marked = marked or bool(mark)
+        if c == " ":
+            marked = False
+        out[-1] += c
+        new, last = control, c
+    return out
+
+
+def test_units_against_a_walk(words):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab9é² \n\t.,!▁_ßЖ中-") for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    some = [" " + t.replace("▁", " ") for t in texts if t]
+    blob = "".join(some).encode()
+    sizes = [len(t.encode()) for t in some]
+    starts = lattice_sampling.unit_starts(np.frombuffer(blob, np.uint8), np.cumsum([0, *sizes[:-1]]), words).tolist()
+    got = [blob[a:b].decode() for a, b in zip(starts, [*starts[1:], len(blob)])]
+    assert got == [u for t in texts for u in units_by_hand(t, words)]
+
+
+def test_samples_do_not_depend_on_other_rows(words):
+    rng = random.Random(9)
+    pool = ["the", "cat,", "née.", "inversion", "x1!", "\n", "中文", "unbelievable"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [None, LONG[:9000]]
+    keys = list(range(len(texts)))
+    view = lambda found, at: (found.rank[at].item(), tuple(found.ids[found.ends[at] : found.ends[at + 1]].tolist()), found.log_prob[at].item(), found.log_inclusion[at].item())
+    whole = collections.defaultdict(list)
+    for found in lattice_sampling.encode_texts(texts, keys, lattice_sampling.Lattices(words), 3):
+        for at, row in enumerate(found.row.tolist()):
+            whole[row].append(view(found, at))
+    for row, text in enumerate(texts):
+        (alone,) = lattice_sampling.encode_texts([text], [keys[row]], lattice_sampling.Lattices(words), 3)
+        assert [view(alone, at) for at in range(len(alone.row))] == whole[row] and alone.round_trip.all()
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 URLS = ["http://A.Example.NET/en/1?x#y", "https://example.net/fr/2", "http://example.com/de/3", "http://m.example.com/den", "http://x.org/fr/a", "http://notexample.net?q", "net/en", None, "", "ftp://x.net", "http://h.y/a/b//c#d/e", "http://EXAMPLE.net/en/"]
 
