@@ -9,10 +9,12 @@ The model is fitted on at most TRAIN_ROWS labelled rows, those with the smallest
 statistics of these rows, TRAIN_ROWS times 16 numbers, come to the driver. In the query, rows whose crc32(doc_id) mod 5
 is 0 are held out of training. Labels, language, source and id are no inputs of a score.
 
-Cases: a null text counts as empty and all its statistics are 0; labels other than 0 and 1 and null labels are left out
-of training; a row labelled more than once counts as often; with labels of one kind only, or with none, the score is
-the smoothed share of label 1, the same for all; rows that repeat an id are scored each for itself; an empty table gives
-an empty result.
+Cases: a null text counts as empty and all its statistics are 0, but for its one empty line; texts of any length are read
+whole; labels other than 0 and 1, null labels and null ids are left out of training; a row labelled more than once counts
+as often, and of the texts of a repeated id the smallest is trained on; with labels of one kind only, or with none, the
+score is the smoothed share of label 1, the same for all; rows that repeat an id are scored each for itself, and so are
+rows with a null id; an empty table gives an empty result. `scored` keeps the input's columns, whatever their names, but
+for `score`, which is replaced.
 """
 
 from __future__ import annotations
@@ -178,12 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     ids = known.orderBy(F.md5(F.col("_id").cast("string")), "_id", "_quality").limit(rows).collect()
     if not ids:
         return fit(np.empty((0, 0)), np.empty(0))
-    picked = docs.sparkSession.createDataFrame(ids, "_id bigint, _quality int")
-    joined = docs.join(F.broadcast(picked), docs[key] == picked["_id"]).withColumns(statistics(F.col(text)))
-    inputs = derived()
-    got = joined.select("_id", "_quality", *[e.alias(n) for n, e in inputs.items()]).limit(4 * rows).collect()
-    got = sorted(got)
-    return fit(np.array([r[2:] for r in got], float), np.array([r[1] for r in got], int))
+    picked = docs.sparkSession.createDataFrame(ids, known.schema).groupBy("_id", "_quality").agg(F.count("*").alias("_times"))
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    one = texts.join(F.broadcast(picked), texts["_key"] == picked["_id"]).groupBy("_id", "_quality", "_times").agg(F.min("_text").alias("_text"))
+    found = one.withColumns(statistics(F.col("_text"))).select("_id", "_quality", "_times", *[e.alias(f"_s_{n}") for n, e in derived().items()]).collect()
+    got = [r for r in sorted(found) for _ in range(r["_times"])]
+    if not got:
+        return fit(np.empty((0, 0)), np.empty(0))
+    return fit(np.array([r[3:] for r in got], float), np.array([r[1] for r in got], int))
 
 
 def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:

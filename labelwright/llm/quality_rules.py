@@ -1,19 +1,23 @@
 """Quality rules: counts over a text, and a linear-chain conditional random field that marks its lines.
 
 The field labels each line with a word as content or boilerplate; Viterbi decoding finds the best sequence, and the
-share of words on content lines decides retention. Weights are trained here: lines of documents of known quality carry
-their document's label, from at most TRAIN_PER_CLASS documents of each label with at most TRAIN_CHARS characters, those
-with the smallest MD5 digests of their ids. The likelihood's gradient comes from a forward and backward pass in numpy.
+share of words on content lines decides retention. Weights are trained here, on sequences whose labels change: a line of
+a good document is content, unless it is a notice or equals an earlier line; a line of a bad document is boilerplate; and
+runs of lines of one kind are put into documents of the other. The sample is at most TRAIN_PER_CLASS documents of each
+label, whole, those with the smallest MD5 digests of their ids; their texts come to the driver. The likelihood's gradient
+comes from a forward and backward pass in numpy.
 
 Cases: a null text counts as empty; an empty text has no words and fails the base rules; a text whose lines hold no word
-likewise; without training rows of both labels the field marks all lines as content; rows that repeat an id are judged
-each for itself; an empty table gives an empty result; texts are processed whole. Columns of the input that clash with
-those added are replaced.
+likewise; without training rows of both labels the field marks all lines as content; labels other than 0 and 1, null
+labels and null ids are left out of training, and of the texts of a repeated id the smallest is trained on; rows that
+repeat an id are judged each for itself; an empty table gives an empty result; texts are processed whole. `judge` returns
+the key and the added columns, without one that is named like the key; `keep_good` returns the input's columns.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +33,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 CONTENT_SHARE = 0.5
 TRAIN_PER_CLASS = 400
-TRAIN_CHARS = 20_000
+#: Lines at most in a run that is put into a document of the other kind.
+SPLICE = 6
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -37,6 +42,8 @@ _DIGITS = b"0123456789"
 _STOPS = b".!?:;\"')]"
 _NOTICE = re.compile(r"licen[sc]ed? under|all rights reserved|copyright|©|cookie|privacy policy|terms of (?:use|service)|https?://|www\.|@", re.I)
 N_FEATURES = 13
+#: Places of two features.
+_SEEN, _IS_NOTICE = 8, 12
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -96,20 +103,21 @@ class LineField:
 ALL_CONTENT = LineField((1.0, *[0.0] * (N_FEATURES - 1)), ((0.0, 0.0), (0.0, 0.0)))
 
 
-def train_field(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, decay: float = 1e-3, longest: int = 48) -> LineField:
-    """Maximum likelihood with Adam over sequences of line features that carry one label each; long ones are cut into runs of `longest` lines."""
-    if len({y for _, y in sequences}) < 2:
+def train_field(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, decay: float = 1e-3, longest: int = 48) -> LineField:
+    """Maximum likelihood with Adam over sequences of line features and labels; long ones are cut into runs of `longest` lines."""
+    runs = [(x[i : i + longest], y[i : i + longest]) for x, y in sequences for i in range(0, len(x), longest)]
+    if len({int(v) for _, y in runs for v in y}) < 2:
         return ALL_CONTENT
-    runs = [(x[i : i + longest], y) for x, y in sequences for i in range(0, len(x), longest)]
     n, t = len(runs), max(len(x) for x, _ in runs)
-    xs, mask, ys = np.zeros((n, t, N_FEATURES)), np.zeros((n, t)), np.array([y for _, y in runs])
-    for i, (x, _) in enumerate(runs):
-        xs[i, : len(x)], mask[i, : len(x)] = x, 1
-    # Each run weighs as much as the other label's, whatever its length.
-    share = np.where(ys == 1, 0.5 / max(1, (ys == 1).sum()), 0.5 / max(1, (ys == 0).sum())) / mask.sum(axis=1)
+    xs, mask, ys = np.zeros((n, t, N_FEATURES)), np.zeros((n, t)), np.zeros((n, t))
+    for i, (x, y) in enumerate(runs):
+        xs[i, : len(x)], mask[i, : len(x)], ys[i, : len(x)] = x, 1, y
+    # Each run weighs as much as another, whatever its length, and both kinds of runs as much in all.
+    mostly = (ys * mask).sum(axis=1) * 2 >= mask.sum(axis=1)
+    share = np.where(mostly, 0.5 / max(1, mostly.sum()), 0.5 / max(1, (~mostly).sum())) / mask.sum(axis=1)
     emit, move = np.zeros(N_FEATURES), np.zeros((2, 2))
     moments = [np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)]
-    onehot = np.stack([1 - ys, ys], axis=1).astype(float)
+    onehot = np.stack([1 - ys, ys], axis=2) * mask[:, :, None]
     for r in range(1, rounds + 1):
         unary = np.stack([np.zeros((n, t)), xs @ emit], axis=2)
         ahead, behind = np.zeros((n, t, 2)), np.zeros((n, t, 2))
@@ -124,8 +132,8 @@ def train_field(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, deca
         total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
         node = np.exp(ahead + behind - total[:, None, None]) * mask[:, :, None]
         pair = np.exp(ahead[:, :-1, :, None] + move + (unary + behind)[:, 1:, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
-        g_emit = np.einsum("n,nt,ntf->f", share, mask * ys[:, None] - node[:, :, 1], xs)
-        seen = np.einsum("n,nt,na,nb->ab", share, mask[:, 1:], onehot, onehot)
+        g_emit = np.einsum("n,nt,ntf->f", share, mask * ys - node[:, :, 1], xs)
+        seen = np.einsum("n,nta,ntb->ab", share, onehot[:, :-1], onehot[:, 1:])
         g_move = seen - np.einsum("n,ntab->ab", share, pair)
         grad = np.concatenate((g_emit - decay * emit, (g_move - decay * move).ravel()))
         moments[0] = 0.9 * moments[0] + 0.1 * grad
@@ -141,20 +149,41 @@ def lines_with_words(text: str) -> list[str]:
 
 def training_texts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", per_class: int = TRAIN_PER_CLASS) -> list[tuple[str, int]]:
     """At most `per_class` texts of each label, as (text, label) in a fixed order. Only ids are sorted; a bounded list of them is broadcast."""
-    chosen = labels.where(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(quality).cast("int").alias("_quality"))
+    chosen = labels.where(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(quality).cast("int").alias("_quality")).distinct()
     order = [F.md5(F.col("_id").cast("string")), F.col("_id"), F.col("_quality")]
     ids = [r for label in (0, 1) for r in chosen.where(F.col("_quality") == label).orderBy(*order).limit(per_class).collect()]
     if not ids:
         return []
-    picked = docs.sparkSession.createDataFrame(ids, "_id bigint, _quality int")
-    short = docs.where(F.length(text) <= TRAIN_CHARS)
-    found = short.join(F.broadcast(picked), short[key] == picked["_id"]).select("_id", F.col(text).alias("_text"), "_quality").limit(8 * per_class).collect()
-    return [(r["_text"], r["_quality"]) for r in sorted(found, key=lambda r: (r["_id"], r["_quality"], r["_text"]))]
+    picked = docs.sparkSession.createDataFrame(ids, chosen.schema)
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = texts.join(F.broadcast(picked), texts["_key"] == picked["_id"]).groupBy("_id", "_quality").agg(F.min("_text").alias("_text")).collect()
+    return [(r["_text"], r["_quality"]) for r in sorted(found, key=lambda r: (r["_id"], r["_quality"]))]
+
+
+def training_sequences(texts: list[tuple[str, int]], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of the lines of each text, and of each with a run of lines of a text of the other label put in at a random place. None unless there are texts of both labels."""
+    kinds: tuple[list[list[str]], list[list[str]]] = ([], [])
+    for text, label in texts:
+        if lines := lines_with_words(text):
+            kinds[label].append(lines)
+    rng = random.Random(seed)
+    out = []
+    if not all(kinds):
+        return out
+    for label, others in ((0, kinds[1]), (1, kinds[0])):
+        for lines in kinds[label]:
+            whole, other = [(x, label) for x in lines], rng.choice(others)
+            at, first = rng.randrange(len(lines) + 1), rng.randrange(len(other))
+            run = [(x, 1 - label) for x in other[first : first + rng.randint(1, SPLICE)]]
+            for variant in (whole, [*whole[:at], *run, *whole[at:]]):
+                x = line_features([line for line, _ in variant])
+                y = np.array([kind for _, kind in variant]) * (x[:, _SEEN] == 0) * (x[:, _IS_NOTICE] == 0)
+                out.append((x, y))
+    return out
 
 
 def trained_field(docs: DataFrame, labels: DataFrame) -> LineField:
-    sequences = [(line_features(lines), y) for text, y in training_texts(docs, labels) if (lines := lines_with_words(text))]
-    return train_field(sequences)
+    return train_field(training_sequences(training_texts(docs, labels)))
 
 
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -191,7 +220,8 @@ ADDED = {n: pa.int64() for n in ("n_words", "word_chars", "n_symbols", "n_dup_li
 
 
 def judge(texts: DataFrame, key: str, text: str, field: LineField) -> DataFrame:
-    """Column `key` and the added columns; the work of a row depends on that row alone."""
+    """Column `key` and the added columns, but one named like the key; the work of a row depends on that row alone."""
+    added = {n: t for n, t in ADDED.items() if n != key}
 
     def one(text: str | None) -> tuple:
         text = text or ""
@@ -202,11 +232,11 @@ def judge(texts: DataFrame, key: str, text: str, field: LineField) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(zip(*map(one, batch.column("t").to_pylist()))) or [()] * len(ADDED)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip(got, ADDED.values()))], [key, *ADDED])
+            got = dict(zip(ADDED, list(zip(*map(one, batch.column("t").to_pylist()))) or [()] * len(ADDED)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(got[n], t) for n, t in added.items())], [key, *added])
 
     kinds = {pa.int64(): "bigint", pa.bool_(): "boolean", pa.float64(): "double"}
-    schema = ", ".join(f"{n} {kinds[t]}" for n, t in ADDED.items())
+    schema = ", ".join(f"{n} {kinds[t]}" for n, t in added.items())
     return texts.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"`{key}` {dict(texts.dtypes)[key]}, {schema}")
 
 

@@ -453,6 +453,51 @@ def test_quality_rules(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["kept"]}
     assert quality_rules.judge(df.limit(0), "doc_id", "text", field).count() == 0
     assert quality_rules.trained_field(df, labels.where("quality = 1")) == quality_rules.ALL_CONTENT
+    named = quality_rules.judge(df.withColumnRenamed("doc_id", "kept").withColumn("kept", F.col("kept").cast("string")), "kept", "text", field)
+    assert named.count() == df.count() and named.columns.count("kept") == 1
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Documents of known lines, in runs of content and boilerplate, that the field wasn't trained on."""
+    df, labels = corpus(spark)
+    field = quality_rules.trained_field(df, labels)
+    rng = random.Random(11)
+    right = total = partly = 0
+    for _ in range(60):
+        lines, want = [], []
+        for _ in range(rng.randint(2, 4)):
+            kind = rng.randrange(2)
+            for _ in range(rng.randint(2, 5)):
+                words = (GOOD if kind else BAD).split()
+                lines.append(" ".join(rng.sample(words, len(words))))
+                want.append(kind)
+        lines.append("All rights reserved.")
+        want.append(0)
+        got = field.decode(quality_rules.line_features(lines))
+        right, total = right + sum(a == b for a, b in zip(got, want)), total + len(want)
+        share = quality_rules.content_share("\n".join(lines), field)
+        partly += 0 < share < 1
+    assert right >= 0.9 * total and partly > 30
+
+
+def test_training_rows_do_not_depend_on_order_or_repeats(spark):
+    df, labels = corpus(spark)
+    strings = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    named = labels.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    twice = strings.unionByName(strings.withColumn("text", F.concat("text", F.lit(" zzz")))).unionByName(strings.limit(1).withColumn("doc_id", F.lit(None).cast("string")))
+    for f in (quality_rules.trained_field, quality_classifier.train):
+        assert f(twice.repartition(7), named.repartition(3)) == f(strings, named)
+
+
+def test_a_filter_on_the_score_does_not_repeat_the_statistics(spark):
+    df, labels = corpus(spark, 300)
+    model = quality_classifier.train(df, labels)
+    count = lambda x: x._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract_all(")
+    whole = quality_classifier.scored(df, model)
+    assert 0 < count(whole.where("score >= 0.3")) == count(whole)
+    clash = df.selectExpr("*", "1 AS _c_words", "2 AS _s_twice", "3 AS _row", "4 AS _score", "5 AS `a.b`", "6 AS score")
+    got = quality_classifier.scored(clash, model)
+    assert got.columns == [c for c in clash.columns if c != "score"] + ["score"] and got.where("_c_words = 1 AND _row = 3 AND `a.b` = 5").count() == 300
 
 
 # 8 ---------------------------------------------------------------------------------------------------------------------
