@@ -36,6 +36,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: A key with more than this part of the rows is hot; so there are fewer hot keys than its inverse.
+HOT_PART = 1e-3
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` joined to `facts`, which has one row per key with the number `n` of its rows, on the column `key`.
+
+    `total` is the number of rows, or more. The facts of hot keys, 1 / HOT_PART at most, are broadcast, so that the rows
+    of a hot key stay in the tasks that have them; all others are joined as Spark sees fit. Keys are not null.
+    """
+    hot = F.col("n") > total * HOT_PART
+    named = facts.select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in facts.columns if c != key])
+    marked = rows.join(F.broadcast(named.where(F.col("_hot_n") > total * HOT_PART)), F.col(key) == F.col("_hot"), "left")
+    at_once = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in facts.columns if c != key])
+    return marked.where(F.col("_hot").isNull()).select(*rows.columns).join(facts.where(~hot), key).select(*at_once.columns).unionByName(at_once)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

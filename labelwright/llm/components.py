@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut
+from labelwright.llm.common import cut, join_counted
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """`edges` has bigint columns a and b. Gives one row per node that has an edge: `node`, and `root`, the smallest node of its component.
 
     Null ends, loops and repeated edges are dropped. Each round is two aggregations and two joins over the edges, and
-    is written to the checkpoint folder; nothing but a count and a checksum comes to the driver. The number of rounds
-    grows with the logarithm of the longest path.
+    is written to the checkpoint folder; nothing but a count and a checksum comes to the driver. The edges of a node with
+    many are not dealt to one task (`join_counted`). The number of rounds grows with the logarithm of the longest path.
     """
     state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     sign = None
@@ -22,18 +22,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(found) == sign or found[0] == 0:
             return state.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(state.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()
         sign = tuple(found)
-        state = cut(_small_star(_large_star(state)))
+        state = cut(_small_star(_large_star(state, found[0]), found[0]))
 
 
-def _large_star(state: DataFrame) -> DataFrame:
+def _large_star(state: DataFrame, edges: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour, or to itself if it is the smallest."""
     both = state.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(state.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.where("v > u"), least, "u", 2 * edges).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 
 
-def _small_star(state: DataFrame) -> DataFrame:
+def _small_star(state: DataFrame, edges: int) -> DataFrame:
     """Each node's smaller neighbours, and the node, are linked to the smallest of them."""
-    least = state.groupBy("hi").agg(F.min("lo").alias("m"))
-    down = state.join(least, "hi")
+    least = state.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+    down = join_counted(state, least, "hi", 2 * edges)
     return down.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo").unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()

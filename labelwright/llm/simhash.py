@@ -25,6 +25,7 @@ id is the smallest that isn't null; an empty table gives an empty result. Texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut
+from labelwright.llm.common import cut, join_counted
 from labelwright.llm.components import connected_components
 from labelwright.session import spread, table
 
@@ -168,11 +169,12 @@ def tile_pairs(rows: DataFrame, cuts: Column, by: Column, reach: int) -> DataFra
     return rows.withColumn("_pair", F.explode(pairs)).withColumns({"lo": F.col("_pair.lo"), "hi": F.col("_pair.hi")}).drop("_pair")
 
 
-def links(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """`keyed`: columns key (a bucket) and node, bigint, and fp, an array of as many bigints for all. Gives links a, b that join exactly the nodes of each component within each bucket."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+def links(keyed: DataFrame, radius: int, total: int | None = None, tile: int = TILE) -> DataFrame:
+    """`keyed`: columns key (a bucket) and node, bigint, and fp, an array of as many bigints for all; `total` rows at most, counted if not given. Gives links a, b that join exactly the nodes of each component within each bucket."""
+    total = keyed.count() if total is None else total
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
     pop = F.aggregate("fp", F.lit(0), lambda acc, w: acc + F.bit_count(w).cast("int"))
-    met = keyed.join(counts, "key").select("key", "node", "fp", F.ceil(F.col("n") / tile).cast("int").alias("cuts"), F.floor(pop / radius).cast("int").alias("band"))
+    met = join_counted(keyed, counts, "key", total).where("n > 1").select("key", "node", "fp", F.ceil(F.col("n") / tile).cast("int").alias("cuts"), F.floor(pop / radius).cast("int").alias("band"))
     dealt = tile_pairs(met, F.col("cuts"), F.col("band"), 1).select("key", "lo", "hi", "node", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +199,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", k:
     """One row per row of `docs`: `id`, `fp` (signed bigint) and `component`, the smallest id of its component."""
     marked = cut(fingerprints(docs, text, key, k))
     groups = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    keys = _bucket_keys(F.col("fp"), radius, parts_for(groups.count(), radius))
-    roots = connected_components(links(groups.select(F.explode(keys).alias("key"), F.col("fp").alias("node"), F.array("fp").alias("fp")), radius))
+    n = groups.count()
+    parts = parts_for(n, radius)
+    keyed = groups.select(F.explode(_bucket_keys(F.col("fp"), radius, parts)).alias("key"), F.col("fp").alias("node"), F.array("fp").alias("fp"))
+    roots = connected_components(links(keyed, radius, n * math.comb(parts, radius)))
     rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
@@ -210,6 +214,8 @@ BANDS, BAND_ROWS = 24, 4
 #: deviation of 5.7; at 0.4 in 79.
 WIDE_WORDS = 4
 WIDE_RADIUS = 62
+#: Texts that a task remembers to have sketched.
+KNOWN = 100_000
 #: Texts in a tile when shingle sets are compared.
 TEXT_TILE = 512
 _FACTORS = np.random.default_rng(12).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -265,19 +271,26 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     firsts = docs.select(F.col(key).cast("bigint").alias("_id"), node.alias("node"), F.col(text).alias("_text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            sets = [shingle_hashes(t, k) for t in texts]
+            # A node that this task has given out before is a copy of the same text.
+            if len(known) > KNOWN:
+                known.clear()
+            nodes = batch.column("node").to_pylist()
+            new = [i for i, node in enumerate(nodes) if not (node in known or known.add(node))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            sets = [shingle_hashes(t, k) for t in batch.column("_text").to_pylist()]
             fps = pa.array([wide_simhash(g) for g in sets], pa.list_(pa.int64()))
             bands = [pa.array(band_keys(g)) for g in sets]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.concat_arrays([pa.array([], pa.int64()), *bands]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("node"), fps, keys], ["_id", "node", "fp", "keys"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.concat_arrays([pa.array([], pa.int64()), *bands]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), fps, keys], ["node", "fp", "keys"])
 
-    marked = cut(firsts.mapInArrow(sketch, "_id bigint, node bigint, fp array<bigint>, keys array<bigint>"))
-    texts = marked.join(least, "node").where(F.col("_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
-    groups = connected_components(links(texts.select(F.explode("keys").alias("key"), "node", "fp"), WIDE_RADIUS))
+    marked = firsts.mapInArrow(sketch, "node bigint, fp array<bigint>, keys array<bigint>")
+    texts = cut(marked.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")))
+    total = texts.count()
+    groups = connected_components(links(texts.select(F.explode("keys").alias("key"), "node", "fp"), WIDE_RADIUS, total * BANDS))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    wanted = cut(groups.join(sizes, "root").join(least, "node").select("node", "root", "least", F.ceil(F.col("n") / TEXT_TILE).cast("int").alias("cuts")))
+    wanted = cut(join_counted(groups, sizes, "root", total).join(least, "node").select("node", "root", "least", F.ceil(F.col("n") / TEXT_TILE).cast("int").alias("cuts")))
     near = firsts.join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("least")))
     dealt = tile_pairs(near.select("root", "node", "cuts", "_text"), F.col("cuts"), F.lit(0), 0).select("root", "lo", "hi", "node", "_text")
 
