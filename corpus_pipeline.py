@@ -9,7 +9,8 @@ stage's docs. All stages but the last return the columns of `documents`.
 4. mixing: sources are repeated or thinned to their target weights, so a document may be there several times, or not;
 5. SentencePiece: each distinct document of the mix gets its sampled segmentations, with how often the mix takes it.
 
-The models of stages 1 and 2 are trained on documents that reach the stage and on `labels`.
+The models of stages 1 and 2 are trained on `labels` and on `documents`; what reaches stage 2 has hardly a bad document left
+to learn from.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     good = quality_classifier.scored(docs, model).where(F.col("score") >= quality_classifier.PREDICT_AT)
     return good.select(*docs.columns)
 

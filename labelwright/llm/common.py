@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,13 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> Dat
     return marked.where(F.col("_hot").isNull()).select(*rows.columns).join(facts.where(~hot), key).select(*at_once.columns).unionByName(at_once)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows each, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

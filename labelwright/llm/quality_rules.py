@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelwright.llm.common import slices
 from labelwright.session import spread, table
 
 MIN_WORDS = 50
@@ -231,7 +232,7 @@ def judge(texts: DataFrame, key: str, text: str, field: LineField) -> DataFrame:
         return *counts, failed, share, not failed and share >= CONTENT_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = dict(zip(ADDED, list(zip(*map(one, batch.column("t").to_pylist()))) or [()] * len(ADDED)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(got[n], t) for n, t in added.items())], [key, *added])
 
@@ -248,7 +249,7 @@ def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFram
         return n >= MIN_WORDS and 100 * repeated <= MAX_REPEAT_PERCENT * n and content_share(text or "", field) >= CONTENT_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(map(good, batch.column(text).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut, join_counted
+from labelwright.llm.common import cut, join_counted, slices
 from labelwright.llm.components import connected_components
 from labelwright.session import spread, table
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """Columns `key` and `fp`, the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.fromiter((simhash(t, k) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
@@ -272,7 +272,7 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             # A node that this task has given out before is a copy of the same text.
             if len(known) > KNOWN:
                 known.clear()

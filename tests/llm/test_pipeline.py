@@ -51,7 +51,7 @@ def test_stages(spark, folder, tmp_path):
     assert {i for i in ids(after) if i < 1000} == {i for i, q in quality.items() if q}
 
     before, after = kept[1]
-    scored = quality_classifier.scored(before, quality_classifier.train(before, labels))
+    scored = quality_classifier.scored(before, quality_classifier.train(kept[0][0], labels))
     assert ids(after) == ids(scored.where("score >= 0.3"))
 
     before, after = kept[2]
