@@ -16,8 +16,8 @@ No piece crosses from one word into the next, nor from a letter to a mark that n
 is a chain of small lattices. A search node has two children: one edge that leaves its place, drawn by its probability,
 and all other edges there together. Along a path all nodes have the number of the path's top node, and the rest at each
 place gets a Gumbel around its log-probability held below that number; so all words of many texts are expanded at once
-with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered by a Python worker,
-up to MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone. Log-probabilities of
+with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered by a task, up to
+MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone. Log-probabilities of
 edges and the running sums that draw them are held in fixed point, whose sums are the same in any order, so that a row's
 result doesn't depend on the rows that are expanded with it.
 
@@ -47,9 +47,9 @@ from labelwright.session import spread, table
 MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
-#: Words whose lattices a worker remembers, and bytes of texts that are expanded at once (one text at least).
-MEMO = 300_000
-CHUNK = 500_000
+#: Words whose lattices a task remembers, and bytes of texts that are expanded at once (one text at least).
+MEMO = 200_000
+CHUNK = 300_000
 #: Units of the fixed-point numbers: of log-probabilities, and of probabilities.
 _LOG_UNIT, _UNIT = 2.0**-36, 2.0**-40
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -303,7 +303,7 @@ class Lattices:
 
 @functools.lru_cache(maxsize=1)
 def lattices(path: str, alpha: float) -> Lattices:
-    """Those of a Python worker, which keeps them from one task to the next; results don't depend on what they hold."""
+    """The tables of a Python worker; what a task adds is cleared at its end, so that later stages have the memory."""
     return Lattices(vocabulary(path, alpha))
 
 
@@ -598,6 +598,7 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
                     pa.array(found.round_trip),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [key, *ADDED])
+        lat.clear()
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, sample int, ids array<int>, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, round_trip boolean"
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
