@@ -48,8 +48,8 @@ MODEL = "piece_bpe_32k.model"
 K = 2
 ALPHA = 1.0
 #: Words whose lattices a task remembers, and bytes of texts that are expanded at once (one text at least).
-MEMO = 200_000
-CHUNK = 300_000
+MEMO = 100_000
+CHUNK = 200_000
 #: Units of the fixed-point numbers: of log-probabilities, and of probabilities.
 _LOG_UNIT, _UNIT = 2.0**-36, 2.0**-40
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
