@@ -42,7 +42,7 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Tags that speak against main text, and for it.
 AGAINST_TAGS = frozenset("nav aside footer form dialog button select".split())
 FOR_TAGS = frozenset("article main".split())
-N_FEATURES = len(TAGS) + 12
+N_FEATURES = len(TAGS) + 13
 KEEP_AT = 0.5
 
 
@@ -77,12 +77,14 @@ def forest_of(pages: list[list[Node]], units: list[list[int]]) -> tuple[Forest,
     spot = {t: i for i, t in enumerate(TAGS)}
     for nodes, unit in zip(pages, units):
         chars, linked, stops = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+        own = [0] * len(nodes)
         in_link = [False] * len(nodes)
         for i, node in enumerate(nodes):
             in_link[i] = node.tag == "a" or (node.parent >= 0 and in_link[node.parent])
             for _, _, text in node.pieces:
                 n = len(text.strip())
                 chars[i] += n
+                own[unit[i]] += n
                 linked[i] += n * in_link[i]
                 stops[i] += text.count(".") + text.count("!") + text.count("?")
         for i in range(len(nodes) - 1, 0, -1):
@@ -113,7 +115,7 @@ def forest_of(pages: list[list[Node]], units: list[list[int]]) -> tuple[Forest,
             if node.tag in spot:
                 row[spot[node.tag]] = 1.0
             against, good = bool(names & AGAINST), bool(names & FOR)
-            row[len(TAGS) :] = [1.0, against, good and not against, linked[i] / max(1, chars[i]), linked[i] > 0.6 * chars[i] > 0, chars[i] == 0, min(1.0, math.log1p(chars[i]) / 8), min(1.0, 30 * stops[i] / max(10, chars[i])), chars[i] / total, bad_in[i], good_in[i] and not bad_in[i], good_in[i]]
+            row[len(TAGS) :] = [1.0, against, good and not against, linked[i] / max(1, chars[i]), linked[i] > 0.6 * chars[i] > 0, chars[i] == 0, min(1.0, math.log1p(chars[i]) / 8), min(1.0, 30 * stops[i] / max(10, chars[i])), chars[i] / total, own[i] / total, bad_in[i], good_in[i] and not bad_in[i], good_in[i]]
             rows.append(row)
         where.append(var)
     depth = np.array(depths, np.int64)
@@ -210,13 +212,13 @@ def main_text(pages: DataFrame, html: str = "html", out: str = "text", potential
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("_html").to_pylist()
+            raw = batch.column(len(kept)).to_pylist()
             texts = [t for i in range(0, len(raw), forest_pages) for t in extract([x or "" for x in raw[i : i + forest_pages]], potentials)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, out])
 
     kinds = dict(pages.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), f"`{out}` string"])
-    return pages.select(*kept, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{html}`").alias("html")).mapInArrow(run, schema)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """HTML parsing for extraction, and labelled pages to train on.
 
 `parse` builds a tree of elements from any text: end tags that fit nothing are ignored, elements left open are closed by
-their ancestors, and elements whose end tag may be left out close as usual. Character references are decoded; comments,
+their ancestors, and elements whose end tag may be left out close as usual. A quotation mark matters only where it begins
+an attribute's value and has a partner; else a tag ends at the next `>`. Text outside of all elements belongs to a body of
+its own. Character references are decoded; comments,
 declarations and the contents of scripts, styles and the like are no text.
 
 `labelled_pages` writes pages in many layouts whose article is marked with the attribute `data-main="1"` and whose parts
@@ -15,7 +17,7 @@ import random
 import re
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
@@ -60,10 +62,19 @@ def parse(page: str) -> list[Node]:
     stack = [0]
     place = run = 0
 
+    bare = -1
+
     def say(text: str) -> None:
-        nonlocal place
+        nonlocal place, bare
         if text:
-            nodes[stack[-1]].pieces.append((place, run, text))
+            to = stack[-1]
+            if to == 0 and not text.isspace():
+                if bare < 0:
+                    bare = len(nodes)
+                    nodes.append(Node("body", {}, 0, 1))
+                    nodes[0].children.append(bare)
+                to = bare
+            nodes[to].pieces.append((place, run, text))
             place += 1
 
     at, end = 0, len(page)
@@ -208,4 +219,13 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[str]:
             body = f'<div {named(rng.choice(["page", "wrapper", "container"]))}>{body}</div>'
         head = f"<head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         pages.append(f"<!DOCTYPE html><html>{head}<body>{body}" + ("</body></html>" if rng.random() < 0.9 else ""))
+    # Pages whose text, or its blocks, stand in the body itself, alone or beside parts that don't belong to it.
+    for _ in range(n // 6):
+        texts = [prose(1, 9) for _ in range(rng.randint(1, 3))]
+        parts = [x() for x, often in ((menu, 0.3), (advert, 0.1), (footer, 0.3)) if rng.random() < often]
+        if rng.random() < 0.4:
+            inner = f"<h1>{words(1, 6)}</h1>" + "".join(block() for _ in range(rng.randint(1, 7)))
+        else:
+            inner = rng.choice(["<br>", "<br><br>", "<hr>", "\n"]).join(texts)
+        pages.append(f'<body data-main="1">{inner}{"".join(parts)}</body>')
     return pages

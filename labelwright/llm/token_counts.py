@@ -80,11 +80,11 @@ def _unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
-def encode_distinct(texts: DataFrame, path: str) -> DataFrame:
-    """`texts` (digest, text), dealt by digest: digest and n_tokens, once for each digest of a partition."""
+def encode_distinct(texts: DataFrame, path: str | None) -> DataFrame:
+    """`texts` (digest, text), dealt by digest: digest and n_tokens, once for each digest of a partition. A worker looks for the default tokenizer itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(path or tokenizer_path())
         for batch in _unseen(batches):
             found: list[int] = []
             lengths = pc.utf8_length(batch.column("text")).to_pylist()
@@ -118,8 +118,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, c
     ones stored. Without it a new, empty table is made in the checkpoint folder, so that every distinct text is encoded.
     """
     spark = docs.sparkSession
-    path = path or tokenizer_path()
-    version = tokenizer_digest(path)
+    version = tokenizer_digest(path or tokenizer_path())
     cache = cache or f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid4().hex}"
     plain = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(plain, 256))
@@ -132,9 +131,10 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, c
     counts = cut(read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     own = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in docs.columns if c != text and c not in own]
-    keyed = docs.select(*kept, F.octet_length(plain).cast("bigint").alias("n_bytes"), digest.alias("_digest"))
-    joined = keyed.join(counts, F.col("_digest") == F.col("digest"), "left")
-    return joined.select(*kept, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).alias("_none"))
+    keyed = docs.select(row.alias("_row"), F.octet_length(plain).cast("bigint").alias("n_bytes"), digest.alias("digest"))
+    joined = keyed.join(counts, "digest", "left")
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -613,3 +613,31 @@ def test_words_and_hash(spark):
     row = spark.createDataFrame([(" a\tb\x0bc d ", 5)], "t string, i bigint").select(common.words_of(F.col("t")).alias("w"), common.unit_hash(F.col("i"), "x:").alias("u")).first()
     assert row["w"] == ["a", "b", "c d"]
     assert row["u"] == int(hashlib.md5(b"x:5").hexdigest()[:13], 16) / 2**52
+
+
+# More of 9 and 10 ------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p class=it's>hello there my friend, this is it.</p></article>", "hello there my friend, this is it."),
+        ('<article><p title="x>hello there, it is me.</p></article>', "hello there, it is me."),
+        ("<body>Just some body words, as they come. More words.</body>", "Just some body words, as they come. More words."),
+        ("Plain text without any markup. It has two sentences.", "Plain text without any markup. It has two sentences."),
+        ("<a href=\"1>2\">link</a> and <b title='a>b'>bold</b> text.", "link and bold text."),
+        ("1 < 2 and 3 > 2 <3", "1 < 2 and 3 > 2 <3"),
+        ("<body><h1>T</h1><p>Some prose here, and there. More of it.</p><p>And more.</p></body>", "T Some prose here, and there. More of it. And more."),
+        ("<nav><ul><li><a href=a>x y</a></li><li><a href=b>z</a></li></ul></nav>", ""),
+        ("", ""),
+    ],
+)
+def test_pages_without_an_article_and_with_odd_quotes(page, want):
+    assert html_extract.extract([page], html_extract.default_potentials()) == [want]
+
+
+def test_clashing_columns_of_pages_and_counts(spark):
+    df = spark.createDataFrame([(1, "<article><p>One two three four, five.</p></article>", "h", "t")], "page_id bigint, html string, _html string, text string")
+    assert html_extract.main_text(df).collect()[0].asDict() == {"page_id": 1, "_html": "h", "text": "One two three four, five."}
+    df = spark.createDataFrame([(1, "one two", "d", "e", "f", 5)], "doc_id bigint, text string, digest string, _digest string, `a.b` string, n_tokens int")
+    got = token_counts.count_tokens(df)
+    assert got.columns == ["doc_id", "digest", "_digest", "a.b", "n_bytes", "n_tokens", "over_limit"]
+    assert got.first()["digest"] == "d" and got.first()["n_tokens"] == 2 and token_counts.count_tokens(df.select("text")).first()["n_bytes"] == 7
