@@ -11,35 +11,43 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.operators import agreement, annotate, chunk, dedup
+from labelwright.operators import agreement, annotate, chunk, dedup, responses
 from labelwright.plans.contracts import AGREEMENT_METRICS, ANNOTATION, CHUNK, CONTRACT_VERSION, RAW_ABSTRACT, validate
 from labelwright.plans.materialize import cut
 from labelwright.plans.runs import RunLog
 from labelwright.plans.settings import Settings
+from labelwright.sources.corpora import read_prompt, read_responses
 
 Annotator = Callable[..., DataFrame]
-#: Annotators by name: functions of (texts, labels, prompt_version=, prompt_sha256=) that give one annotation per text.
-BACKENDS: dict[str, Annotator] = {"rule": annotate.annotate}
+BACKENDS = ("gemini", "rule")
 DEFAULT_PROMPT = "Classify the text into one of: {labels}.\n\n{text}"
 
 
-def get_backend(name: str) -> Annotator:
+def get_backend(name: str, cache_dir: str = "api_cache") -> Annotator:
+    """A function of (texts, labels, prompt_version=, prompt_sha256=) that gives one annotation per text: by keywords, or from the model's answers in `cache_dir`."""
     if name not in BACKENDS:
-        raise ValueError(f"unknown backend {name}; known: {', '.join(sorted(BACKENDS))}")
-    return BACKENDS[name]
+        raise ValueError(f"unknown backend {name}; known: {', '.join(BACKENDS)}")
+    if name == "rule":
+        return annotate.annotate
+
+    def from_cache(texts: DataFrame, labels: Sequence[str], prompt_version: str, prompt_sha256: str) -> DataFrame:
+        key = responses.cache_key("chunk_id", prompt_version, prompt_sha256)
+        return responses.replay(texts, read_responses(texts.sparkSession, cache_dir), labels, key, prompt_version=prompt_version, prompt_sha256=prompt_sha256)
+
+    return from_cache
 
 
 def batch_id() -> str:
     return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ-") + uuid4().hex[:8]
 
 
-def run_batch(chunks: DataFrame, labels: Sequence[str], root: str, backend: str = "rule", prompt_version: str = "v1", prompt: str = DEFAULT_PROMPT, name: str | None = None) -> str:
-    """Annotates chunks and writes `annotations`, partitioned by batch, then the manifest's row; a batch without a manifest isn't finished. Gives the batch id."""
+def run_batch(chunks: DataFrame, labels: Sequence[str], root: str, backend: str = "rule", prompt_version: str = "v1", prompt: str = DEFAULT_PROMPT, name: str | None = None, cache_dir: str = "api_cache", prompts: str | None = None) -> str:
+    """With `prompts`, a folder of prompt files, the prompt is the version's file there. Annotates chunks and writes `annotations`, partitioned by batch, then the manifest's row; a batch without a manifest isn't finished. Gives the batch id."""
     if not labels:
         raise ValueError("labels must not be empty")
-    run = get_backend(backend)
+    run = get_backend(backend, cache_dir)
     name = name or batch_id()
-    sha = hashlib.sha256(prompt.encode()).hexdigest()
+    sha = read_prompt(chunks.sparkSession, prompts, prompt_version)[1] if prompts else hashlib.sha256(prompt.encode()).hexdigest()
     done = validate(cut(run(chunks, list(labels), prompt_version=prompt_version, prompt_sha256=sha)), ANNOTATION)
     done.withColumn("batch_id", F.lit(name)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/annotations")
     manifest = annotate.batch_counters(done).select(
@@ -69,7 +77,7 @@ def run_pipeline(raw: DataFrame, labels: Sequence[str], root: str, settings: Set
     kept = cut(marked.where("status = 'kept'").select(*CHUNK.columns))
     if kept.isEmpty():
         raise ValueError("no chunks are left")
-    name = run_batch(kept, labels, root, settings.backend, settings.prompt_version)
+    name = run_batch(kept, labels, root, settings.backend, settings.prompt_version, cache_dir=settings.cache_dir)
     spark = raw.sparkSession
     refs = kept.where("ref_label IS NOT NULL").select("chunk_id", "ref_label")
     refs.withColumn("batch_id", F.lit(name)).write.mode("append").partitionBy("batch_id").parquet(f"{root}/ref_labels")

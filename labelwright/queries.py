@@ -249,7 +249,7 @@ def review_triage(spark, sf):
     return r9(evaluate.review_triage(rated(spark, sf)), "share_review", "cost_per_1k")
 
 
-_PAIRED = f"{RATED}, s AS (SELECT count(*) FILTER (true_label = r1 AND true_label <> r2)::BIGINT AS b01, count(*) FILTER (true_label <> r1 AND true_label = r2)::BIGINT AS b10 FROM rated WHERE r1 IS NOT NULL AND r2 IS NOT NULL AND event_id < 400)"
+_PAIRED = f"{RATED}, s AS (SELECT count(*) FILTER (true_label = r1 AND true_label <> r2)::BIGINT AS b01, count(*) FILTER (true_label <> r1 AND true_label = r2)::BIGINT AS b10 FROM rated WHERE r1 IS NOT NULL AND r2 IS NOT NULL)"
 
 
 def _paired(spark, sf) -> DataFrame:
@@ -265,7 +265,7 @@ def mcnemar_discordant(spark, sf):
     return _paired(spark, sf)
 
 
-@query(f"""WITH {_PAIRED}, p AS (SELECT b01, b10, (SELECT sum(exp(lgamma(b01 + b10 + 1) - lgamma(k + 1) - lgamma(b01 + b10 - k + 1) - (b01 + b10) * ln(2.0))) FROM range(0, 100000) AS g(k) WHERE k <= least(b01, b10)) AS tail FROM s)
+@query(f"""WITH {_PAIRED}, p AS (SELECT b01, b10, (SELECT sum(exp(lgamma(b01 + b10 + 1) - lgamma(k + 1) - lgamma(b01 + b10 - k + 1) - (b01 + b10) * ln(2.0))) FROM (SELECT unnest(range(0, least(b01, b10) + 1)) AS k)) AS tail FROM s)
   SELECT b01, b10, round(b01::DOUBLE / b10, 9) AS odds, round(least(1.0, 2 * tail), 8) AS p_value FROM p""")
 def mcnemar_exact_p(spark, sf):
     return r9(r9(evaluate.mcnemar(_paired(spark, sf)), "odds"), "p_value", places=8)
@@ -407,11 +407,13 @@ def shingle_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).alias("n_shingles")).where("n_shingles > 0")
 
 
-@query(f"""WITH {SHING}, sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-  pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh AS x JOIN sh AS y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
-  SELECT a, b, round(c::DOUBLE / (p.n + q.n - c), 9) AS jaccard FROM pr JOIN sz AS p ON p.doc_id = a JOIN sz AS q ON q.doc_id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8""")
+@query(f"""WITH {SHING}, ex AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY doc_id) AS first_seen FROM norm WHERE t IS NOT NULL),
+  rp AS (SELECT doc_id, s FROM sh JOIN ex USING (doc_id) WHERE doc_id = first_seen), sz AS (SELECT doc_id, count(*) AS n FROM rp GROUP BY 1),
+  pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM rp AS x JOIN rp AS y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
+  SELECT 'near' AS link, a, b, round(c::DOUBLE / (p.n + q.n - c), 9) AS jaccard FROM pr JOIN sz AS p ON p.doc_id = a JOIN sz AS q ON q.doc_id = b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.8
+  UNION ALL SELECT 'copy', first_seen, doc_id, 1.0::DOUBLE FROM ex WHERE doc_id <> first_seen""")
 def near_dup_pairs_exact(spark, sf):
-    return r9(dedup.near_pairs(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "jaccard")
+    return r9(dedup.near_classes(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "jaccard")
 
 
 @query()
@@ -436,9 +438,9 @@ def _answers(spark, sf) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.when(i % 29 == 0, F.lit("not json")).otherwise(raw).alias("raw"))
 
 
-@query("""WITH x AS (SELECT event_id, event_id % 29 = 0 AS bad, event_type, CASE WHEN event_id % 13 = 0 OR event_id % 19 = 0 THEN NULL ELSE round((event_id % 101) / 100.0::DOUBLE, 9) END AS c FROM events)
-  SELECT event_id, CASE WHEN bad OR c IS NULL OR event_id % 17 = 0 THEN NULL ELSE event_type END AS label, CASE WHEN bad OR c IS NULL OR event_id % 17 = 0 THEN NULL ELSE c END AS confidence,
-    NOT (bad OR c IS NULL OR event_id % 17 = 0) AS parsed_ok, CASE WHEN bad THEN 0 ELSE event_id % 500 END::BIGINT AS input_tokens FROM x""")
+@query("""WITH x AS (SELECT event_id, event_type, event_id % 29 = 0 AS no_json, event_id % 13 = 0 AS too_large, event_id % 13 <> 0 AND event_id % 19 = 0 AS no_number, event_id % 17 = 0 AS unknown FROM events),
+  y AS (SELECT event_id, CASE WHEN no_json OR no_number OR unknown THEN NULL ELSE event_type END AS label, CASE WHEN no_json OR no_number OR too_large THEN NULL ELSE round((event_id % 101) / 100.0::DOUBLE, 9) END AS confidence, no_json FROM x)
+  SELECT event_id, label, confidence, label IS NOT NULL AND confidence IS NOT NULL AS parsed_ok, CASE WHEN no_json THEN 0 ELSE event_id % 500 END::BIGINT AS input_tokens FROM y""")
 def response_parse(spark, sf):
     p = responses.parsed(F.col("raw"), TYPES)
     return r9(_answers(spark, sf).withColumn("p", p).select("event_id", "p.label", "p.confidence", F.coalesce("p.parsed_ok", F.lit(False)).alias("parsed_ok"), F.coalesce("p.input_tokens", F.lit(0)).alias("input_tokens")), "confidence")
@@ -480,8 +482,8 @@ _GRAMS = r"regexp_extract_all(lower(text), '[a-zà-öø-ÿœß0-9_]{2,}')"
 
 
 @query("""WITH m AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS w FROM documents),
-  tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest(w) AS term FROM m) GROUP BY ALL),
-  fr AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 300),
+  tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM m) GROUP BY ALL),
+  fr AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   raw AS (SELECT doc_id, lang, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN fr USING (term)),
   nm AS (SELECT doc_id, lang, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
   ag AS (SELECT lang, term, sum(w) / any_value(c) AS weight FROM nm JOIN (SELECT lang, count(*) AS c FROM documents GROUP BY lang) USING (lang) GROUP BY lang, term),

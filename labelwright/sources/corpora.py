@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,16 +134,37 @@ def latest_batch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Cached answers: key_sha256 (the file's name) and raw, the JSON text."""
+    """Cached answers: key_sha256 and raw, the JSON text; from JSON files that are named by the digest, or from the table that `write_responses` makes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/table")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.read.schema("key_sha256 string, raw string").parquet(f"{path}/table").dropDuplicates(["key_sha256"])
     name = F.regexp_extract(F.input_file_name(), r"([0-9a-f]{64})[^/]*$", 1)
     return spark.read.text(path, wholetext=True).select(name.alias("key_sha256"), F.col("value").alias("raw"))
 
 
 def load_prompt(text: str) -> str:
-    """The template of a prompt file: what follows its first line of three dashes, or all of it."""
-    head, found, rest = text.partition("\n---\n")
+    """The template of a prompt file: what follows its first three dashes, or all of it."""
+    head, found, rest = text.partition("---")
     return rest.strip() if found else head.strip()
 
 
+def read_prompt(spark: SparkSession, root: str, version: str) -> tuple[str, str]:
+    """The template of a prompt version, the file `<version>_classify.md` under `root`, and its SHA-256; a version that isn't there is an error that names those that are."""
+    end = "_classify.md"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = sorted(f.getPath().getName().removesuffix(end) for f in files.listStatus(where) if f.getPath().getName().endswith(end)) if files.exists(where) else []
+    if version not in known:
+        raise FileNotFoundError(f"no prompt {version}; there are: {', '.join(known) or 'none'}")
+    template = load_prompt(spark.read.text(f"{root}/{version}{end}", wholetext=True).first()[0])
+    return template, hashlib.sha256(template.encode()).hexdigest()
+
+
+def write_responses(answers: DataFrame, path: str) -> None:
+    """Appends answers (key, raw) to a cache table under the keys' SHA-256, before anything is parsed; answers that are null, as of failed calls, are left out."""
+    made = answers.where("raw IS NOT NULL").select(F.sha2("key", 256).alias("key_sha256"), "raw").dropDuplicates(["key_sha256"])
+    made.write.mode("append").parquet(f"{path}/table")
+
+
 def render_prompt(template: str, labels: list[str], text: Column) -> Column:
-    return F.replace(F.replace(F.lit(template), F.lit("{labels}"), F.lit(", ".join(labels))), F.lit("{text}"), text)
+    return F.replace(F.replace(F.lit(template), F.lit("{labels}"), F.lit(f"[{', '.join(labels)}]")), F.lit("{text}"), text)

@@ -1,5 +1,6 @@
 """Contracts, settings, sources, the run log, the batch pipeline, reports and the stream."""
 
+import hashlib
 import json
 
 import pytest
@@ -77,7 +78,12 @@ def test_baselines_prompts_and_csv(spark, tmp_path):
     assert read("bare.json") == {"a": 0.5, "b": 0.5} and read("nested.json") == {"a": 1.0}
     assert corpora.load_prompt("about\n---\nPick {labels}: {text}\n") == "Pick {labels}: {text}" and corpora.load_prompt("plain") == "plain"
     shown = spark.range(1).select(corpora.render_prompt("{labels}|{text}", ["a", "b"], F.lit("x"))).first()[0]
-    assert shown == "a, b|x"
+    assert shown == "[a, b]|x"
+    for version in ("v1", "v2"):
+        (tmp_path / f"{version}_classify.md").write_text(f"about {version}\n---\n{version} {{labels}}: {{text}}\n")
+    assert corpora.read_prompt(spark, str(tmp_path), "v2") == ("v2 {labels}: {text}", hashlib.sha256(b"v2 {labels}: {text}").hexdigest())
+    with pytest.raises(FileNotFoundError, match="v1, v2"):
+        corpora.read_prompt(spark, str(tmp_path), "v3")
     (tmp_path / "d.csv").write_text("text,true_label,pred_label,confidence\nt,a,b,0.5\nu,a,b,bad\n")
     assert [r["confidence"] for r in corpora.read_disagreements_csv(spark, str(tmp_path / "d.csv")).orderBy("text").collect()] == [0.5, None]
 
@@ -136,6 +142,20 @@ def test_pipeline_end_to_end(spark, tmp_path):
         batch.get_backend("none")
 
 
+def test_batch_of_cached_answers(spark, tmp_path):
+    """The prompt's version and digest are stamped and are in the keys of the cache; a text without an answer is an abstention."""
+    (tmp_path / "v2_classify.md").write_text("about\n---\nPick {labels}: {text}")
+    _, sha = corpora.read_prompt(spark, str(tmp_path), "v2")
+    answer = json.dumps({"candidates": [{"content": {"parts": [{"text": '{"label": "asthma", "confidence": 0.75}'}]}}]})
+    cache, root = str(tmp_path / "cache"), str(tmp_path / "b")
+    corpora.write_responses(spark.createDataFrame([(f"pipeline:v2:{sha[:16]}:c1", answer), ("other", None)], "key string, raw string"), cache)
+    chunks = spark.createDataFrame([("c1", "text"), ("c2", "text")], "chunk_id string, text string")
+    batch.run_batch(chunks, ["asthma"], root, "gemini", "v2", cache_dir=cache, prompts=str(tmp_path))
+    got = {r["chunk_id"]: r for r in corpora.latest_batch(spark, root).collect()}
+    assert (got["c1"]["label"], got["c1"]["confidence"], got["c1"]["parsed_ok"]) == ("asthma", 0.75, True) and not got["c2"]["parsed_ok"]
+    assert {r["prompt_sha256"] for r in got.values()} == {sha} and {r["prompt_version"] for r in got.values()} == {"v2"}
+
+
 def test_latest_batch_goes_by_time_not_name(spark, tmp_path):
     root = str(tmp_path)
     spark.createDataFrame([("zzz", "2024-01-01"), ("aaa", "2024-02-01")], "batch_id string, created_at string").write.parquet(root + "/manifests")

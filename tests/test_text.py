@@ -149,7 +149,11 @@ def test_responses(spark):
     raws = [answer(json.dumps(json.dumps(d))) for d in ({"label": " Asthma ", "confidence": 0.9}, {"label": "flu", "confidence": 0.9}, {"label": "asthma", "confidence": "high"}, {"label": "asthma", "confidence": 1.5})] + ["no json", None, answer('"x"', "")]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
     strict = [r["p"] for r in df.select("i", responses.parsed(F.col("raw"), ["asthma"]).alias("p")).orderBy("i").collect()]
-    assert [(p["label"], p["confidence"]) for p in strict] == [("asthma", 0.9)] + [(None, None)] * 6
+    assert [(p["label"], p["confidence"], p["parsed_ok"]) for p in strict] == [("asthma", 0.9, True), (None, 0.9, False), (None, None, False), ("asthma", None, False)] + [(None, None, False)] * 3
+    text = json.dumps({"label": "ASTHMA", "confidence": "0.5"})
+    more = spark.createDataFrame([(i, answer(json.dumps(t))) for i, t in enumerate([text, f"```json\n{text}\n```", text + " and so on", '{"label": "asthma"}', "[1]"])], "i int, raw string")
+    got = [r["p"] for r in more.select("i", responses.parsed(F.col("raw"), ["Asthma"]).alias("p")).orderBy("i").collect()]
+    assert [(p["label"], p["confidence"]) for p in got] == [("asthma", 0.5)] + [(None, None)] * 4 and got[0]["raw_text"] == text
     assert (strict[0]["input_tokens"], strict[0]["output_tokens"], strict[6]["input_tokens"]) == (5, 2, 0)
     loose = [r["p"] for r in df.select("i", responses.parsed(F.col("raw"), ["asthma"], keep_label=True).alias("p")).orderBy("i").collect()]
     assert [(p["label"], p["confidence"]) for p in loose][:4] == [("asthma", 0.9), (None, 0.9), ("asthma", None), ("asthma", None)]
