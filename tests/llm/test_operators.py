@@ -267,6 +267,114 @@ def test_path_templates(spark):
     assert not got["/about"]["rejected"]
 
 
+def brute_templates(rows):
+    """Template, purity of each (host, masked path), one node after another."""
+    import re
+
+    leaves = collections.defaultdict(lambda: [0, 0, 0])
+    for host, path, bad in rows:
+        one = leaves[host, tuple(re.sub("[0-9]+", "<n>", path.removeprefix("/")).split("/"))]
+        one[0], one[1], one[2] = one[0] + 1, one[1] + (bad is True), one[2] + (bad is False)
+    purity = lambda b, g: (b + 1) / (b + g + 2)
+    total = lambda some: [sum(leaves[x][i] for x in some) for i in range(3)]
+    done, plains, work = {}, {}, [((), [x for x in leaves if x[0] == h]) for h in sorted({h for h, _ in leaves})]
+    while work:
+        template, inside = work.pop()
+        d = len(template)
+        for x in inside:
+            if len(x[1]) <= d:
+                done[x] = template
+        live = [x for x in inside if len(x[1]) > d]
+        if len(live) == 1:
+            rest = live[0][1][d:]
+            done[live[0]] = template + rest
+            plains[live[0]] = plains.get(live[0], ()) + rest
+            continue
+        kids = collections.defaultdict(list)
+        for x in live:
+            kids[x[1][d]].append(x)
+        n = total(live)[0]
+        facts, tokens, pools = {}, {}, collections.defaultdict(list)
+        for child, some in kids.items():
+            kn, kb, kg = total(some)
+            after = lambda x: "end" if len(x[1]) == d + 1 else "number" if "<n>" in x[1][d + 1] else "word"
+            kind = max((leaves[x][0], after(x)) for x in some)[1]
+            p = purity(kb, kg)
+            label = "none" if kb + kg == 0 else "bad" if p >= url_filters.REJECT_AT else "good" if p <= 1 - url_filters.REJECT_AT else "mixed"
+            variable = len(kids) >= url_filters.FAN_OUT and kn < url_filters.MIN_SHARE * n
+            facts[child] = kb, kg, kind, label, variable
+            if not variable:
+                pools[kind, label].append(child)
+        for child in kids:
+            kb, kg, kind, label, variable = facts[child]
+            token = child
+            if variable:
+                token = "*"
+            else:
+                pb, pg = (sum(facts[c][i] for c in pools[kind, label]) for i in (0, 1))
+                if kb + kg >= 5 and pb + pg - kb - kg >= 5:
+                    q = purity(pb, pg)
+                    if abs(purity(kb, kg) - q) <= 1.96 * math.sqrt(q * (1 - q) * (1 / (kb + kg + 2) + 1 / (pb + pg + 2))):
+                        token = "{" + kind + ":" + label + "}"
+            tokens[child] = token, "*" if variable else child
+        same = collections.defaultdict(list)
+        for child, some in kids.items():
+            token, one = tokens[child]
+            same[token] += some
+            for x in some:
+                plains[x] = plains.get(x, ()) + (one,)
+        work += [(template + (token,), some) for token, some in same.items()]
+
+    def prior(x):
+        for at in (lambda y: (y[0], plains[y]), lambda y: (plains[y][0], y[0])):
+            parts = collections.defaultdict(list)
+            for y in leaves:
+                if at(y)[1] == at(x)[1] and at(y)[0] != at(x)[0]:
+                    parts[at(y)[0]].append(y)
+            shares = [b / (b + g) for _, b, g in map(total, parts.values()) if b + g]
+            if shares:
+                return (sum(shares) + 1) / (len(shares) + 2)
+        return 0.5
+
+    out = {}
+    for x in leaves:
+        _, b, g = total([y for y in leaves if y[0] == x[0] and done[y] == done[x]])
+        out[x] = "/" + "/".join(done[x]), purity(b, g) if b + g else prior(x)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_path_templates_against_a_walk_over_nodes(spark, seed):
+    rng = random.Random(seed)
+    words = ["en", "de", "news", "tag", "x-1", "a.html", ""]
+    rows = []
+    for _ in range(900):
+        host = rng.choice("pqrst")
+        path = "/" + "/".join(rng.choice(words) if rng.random() < 0.75 else f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randint(1, 4)))
+        bad = rng.choice([None, None, "de" in path, rng.random() < 0.2])
+        rows.append((host, path, bad))
+    want = brute_templates(rows)
+    got = {(r["_host"], tuple(r["_segments"])): (r["template"], r["purity"]) for r in url_filters.path_templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [(k, got[k], v) for k, v in want.items() if abs(got[k][1] - v[1]) > 1e-8] == []
+
+
+
+
+def test_templates_of_a_host_without_rules(spark):
+    """A path that is bad on other hosts is rejected where nothing is labelled, one that is good there is not, and one bad branch doesn't condemn a host."""
+    rows = [(f"h{h}", f"/{kind}/{i}", kind == "spam") for h in range(6) for kind in ("spam", "blog") for i in range(8)]
+    rows += [("new", f"/{kind}/{i}", None) for kind in ("spam", "blog", "news") for i in range(5)]
+    rows += [("half", f"/trash/{i}", True) for i in range(9)] + [("half", "/about/us", None)]
+    rows += [("worse", f"/{kind}/{i}", True) for kind in ("a", "b", "c") for i in range(9)] + [("worse", "/about/me", None)]
+    got = {(r["_host"], "/".join(r["_segments"])): r for r in url_filters.path_templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert got["new", "spam/<n>"]["purity"] == pytest.approx(7 / 8) and got["new", "spam/<n>"]["rejected"]
+    assert got["new", "blog/<n>"]["purity"] == pytest.approx(1 / 8) and not got["new", "blog/<n>"]["rejected"]
+    assert got["new", "news/<n>"]["purity"] == pytest.approx(0.5) and not got["new", "news/<n>"]["rejected"]
+    assert got["half", "about/us"]["purity"] == pytest.approx(2 / 3) and not got["half", "about/us"]["rejected"]
+    assert got["worse", "about/me"]["rejected"]
+
+
 def test_deep_path_templates(spark):
     """Labels that differ below the eighth segment, variable segments there, and one very deep path."""
     top = "/a/b/c/d/e/f/g/h"
