@@ -31,9 +31,8 @@ def predict(rows: DataFrame, id_col: str, text_col: str, label_col: str, max_fea
     Features are a sparse vector a document over at most `max_features` terms; numbers of terms come from a table of that size.
     """
     split = cut(stratified_split(rows.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")), "label", "id", 0.5, seed))
-    weights = tfidf(split, "id", "text", max_features, None, 2, True)
-    train_terms = weights.join(split.where("NOT is_test").select("id"), "id", "left_semi").select("term").distinct()
-    numbered = cut(train_terms.orderBy("term").withColumn("at", F.row_number().over(Window.orderBy("term")) - 1))
+    weights = tfidf(split, "id", "text", max_features, None, 2, True, fitted_on=split.where("NOT is_test"))
+    numbered = cut(weights.select("term").distinct().orderBy("term").withColumn("at", F.row_number().over(Window.orderBy("term")) - 1))
     width = numbered.count()
     entries = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("w"))
     sparse = F.udf(lambda at, weight: Vectors.sparse(max(1, width), at or [], weight or []), VectorUDT())
@@ -41,6 +40,6 @@ def predict(rows: DataFrame, id_col: str, text_col: str, label_col: str, max_fea
     train = data.where("NOT is_test")
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
     n = train.count()
-    model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1 / (c * max(1, n)), standardization=False, maxIter=200).fit(index.transform(train))
+    model = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", regParam=1 / (c * max(1, n)), standardization=False, maxIter=2000).fit(index.transform(train))
     names = F.array(*[F.lit(x) for x in index.labels])
     return model.transform(index.transform(data.where("is_test"))).select("id", "label", F.get(names, F.col("prediction").cast("int")).alias("predicted"))

@@ -88,13 +88,17 @@ def terms(text: Column, stop_words: list[str] | None = None, ngrams: int = 2) ->
     return F.get(F.transform(F.array(found), grams), F.lit(0))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 2000, stop_words: list[str] | None = None, ngrams: int = 2, sublinear: bool = False) -> DataFrame:
-    """Long form id, term, weight: tf (1 + ln tf if sublinear) times ln((1 + n) / (1 + df)) + 1, each document scaled to length 1. Of the terms the `max_features` most frequent are kept, by term on a tie."""
-    counts = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col), stop_words, ngrams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    frequent = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 2000, stop_words: list[str] | None = None, ngrams: int = 2, sublinear: bool = False, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Long form id, term, weight: tf (1 + ln tf if sublinear) times ln((1 + n) / (1 + df)) + 1, each document scaled to length 1. Of the terms the `max_features` most frequent are kept, by term on a tie. Terms, n and df are those of `fitted_on`, if that is given, and else of `docs`."""
+
+    def count(of: DataFrame) -> DataFrame:
+        return of.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col), stop_words, ngrams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+    counts, fitted = count(docs), docs if fitted_on is None else fitted_on
+    frequent = count(fitted).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     if max_features:
         frequent = frequent.orderBy(F.desc("total"), "term").limit(max_features)
-    n = docs.agg(F.count("*").alias("n"))
+    n = fitted.agg(F.count("*").alias("n"))
     idf = frequent.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.ln(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
     raw = counts.join(idf, "term").select("id", "term", (tf * F.col("idf")).alias("w"))

@@ -212,6 +212,15 @@ def test_baseline_learns(spark):
     assert len(got) == 20 and all(r["label"] == r["predicted"] for r in got)
 
 
+def test_weights_are_fitted_on_the_training_rows_alone(spark):
+    """What only the other rows say changes neither the terms nor their weights."""
+    train = [(i, "red apple" if i % 2 else "blue sky") for i in range(6)]
+    rows = lambda more: spark.createDataFrame([*train, *more], "id int, text string")
+    weigh = lambda df: {(r["id"], r["term"]): round(r["weight"], 9) for r in taxonomy.tfidf(df, "id", "text", 4, fitted_on=df.where("id < 6")).collect()}
+    one, two = weigh(rows([(9, "red sky")])), weigh(rows([(9, "red sky"), (10, "zebra zebra zebra apple"), (11, "sky sky")]))
+    assert one == {k: v for k, v in two.items() if k[0] < 10} and {t for _, t in two} <= {"red", "apple", "red apple", "blue", "sky", "blue sky"}
+
+
 def test_baseline_query_uses_rare_terms(spark, tmp_path):
     """599 words and bigrams are in every document, the two that tell the labels apart in half of them each."""
     common = " ".join(f"common{i}" for i in range(300))
