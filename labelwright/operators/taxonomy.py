@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import first_best, keywords_present
+from labelwright.sources.corpora import RESPONSE
 
 # Themes in their order, which decides ties, and their keywords.
 THEMES: dict[str, list[str]] = {
@@ -60,6 +61,40 @@ def disagreements(rows: DataFrame, true: str = "true_label", pred: str = "pred_l
     return rows.where(F.col(true).isNotNull() & (F.col(pred).isNull() | (F.col(pred) != F.col(true))))
 
 
+def study_disagreements(annotations: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """text, true_label, pred_label, confidence, source of annotations (pmid, topic, pred_label, confidence) that aren't the topic, joined with the abstracts' texts on pmid; the annotation's topic is the true one."""
+    joined = annotations.join(abstracts.select("pmid", "text"), "pmid")
+    rows = joined.select("text", F.col("topic").alias("true_label"), "pred_label", F.col("confidence").try_cast("double").alias("confidence"), F.lit("study").alias("source"))
+    return disagreements(rows)
+
+
+def naming_prompts(described: DataFrame) -> DataFrame:
+    """cluster, key, prompt: what a model is asked to name each cluster but noise, and the key of its cached answer."""
+    prompt = F.concat(
+        F.lit("Texts of this group were all labelled wrongly. Frequent terms: "), F.array_join("top_terms", ", "), F.lit(". Examples: "), F.array_join("exemplars", " | "),
+        F.lit(". Answer with a JSON object alone: `name`, a short theme, and `description`, one sentence on how the error probably comes about."),
+    )
+    return described.where("cluster <> -1").select("cluster", F.concat(F.lit("taxonomy-llm:"), F.col("cluster").cast("string")).alias("key"), prompt.alias("prompt"))
+
+
+def named_clusters(described: DataFrame, answers: DataFrame) -> DataFrame:
+    """Clusters with llm_name and llm_description from cached answers (key_sha256, raw). Noise has fixed ones; an answer without a name leaves the cluster's own, one without a description an empty one. A cluster without a readable answer is an error."""
+    asked = naming_prompts(described).select("cluster", F.sha2("key", 256).alias("key_sha256"))
+    parts = F.from_json("raw", RESPONSE)["candidates"][0]["content"]["parts"]
+    text = F.get(F.filter(parts, lambda p: p["text"].isNotNull()), F.lit(0))["text"]
+    read = F.from_json(text, "struct<name: string, description: string, _corrupt_record: string>", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    found = asked.join(answers, "key_sha256", "left").select("cluster", read.alias("a"))
+    bad = [r["cluster"] for r in found.where("a IS NULL OR a._corrupt_record IS NOT NULL").select("cluster").collect()]  # a row per cluster
+    if bad:
+        raise ValueError(f"no readable answer for clusters {sorted(bad)}")
+    noise = F.col("cluster") == -1
+    return described.join(found, "cluster", "left").select(
+        *described.columns,
+        F.when(noise, F.lit("noise/unclustered")).otherwise(F.coalesce("a.name", "name")).alias("llm_name"),
+        F.when(noise, F.lit("Rows that belong to no cluster.")).otherwise(F.coalesce("a.description", F.lit(""))).alias("llm_description"),
+    )
+
+
 def synthetic_disagreements(spark: SparkSession, seed: int = 20261008, n: int = 40) -> DataFrame:
     """Seeded disagreements with their themes, dealt to the themes in turn."""
     rng = random.Random(seed)
@@ -217,7 +252,7 @@ def cluster(docs: DataFrame, id_col: str = "row_id", text_col: str = "text", min
     if n > MAX_CLUSTER_ROWS:
         raise ValueError(f"{n} rows; clustering takes at most {MAX_CLUSTER_ROWS}")
     if n < min_cluster_size:
-        raise ValueError(f"need at least {min_cluster_size} texts to cluster, got {n}")
+        raise ValueError(f"{n} rows are too few for clusters of {min_cluster_size}")
     weights = tfidf(docs, id_col, text_col, max_features, stop_words)
     every = docs.select(F.col(id_col).alias("id")).join(weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w")), "id", "left")
 
@@ -257,9 +292,9 @@ def purity(rows: DataFrame, cluster_col: str, theme_col: str, noise: int = -1) -
     return each.agg(F.count_if(real).alias("n_clusters"), F.coalesce(F.sum(F.when(~real, F.col("size"))), F.lit(0)).alias("n_noise"), F.round(F.coalesce(mean, F.lit(float("nan"))), 3).alias("mean_purity"))
 
 
-def describe_clusters(docs: DataFrame, clusters: DataFrame, id_col: str = "row_id", text_col: str = "text", k: int = 8) -> DataFrame:
-    """One row per cluster: cluster, size, name, top_terms, exemplars (two, of 160 characters at most)."""
-    weights = tfidf(docs, id_col, text_col, 2000, STOP_WORDS)
+def describe_clusters(docs: DataFrame, clusters: DataFrame, id_col: str = "row_id", text_col: str = "text", k: int = 8, max_features: int = 2000, stop_words: list[str] | None = STOP_WORDS) -> DataFrame:
+    """One row per cluster: cluster, size, name, top_terms, exemplars (two, of 160 characters at most). `max_features` and `stop_words` should be those of `cluster`."""
+    weights = tfidf(docs, id_col, text_col, max_features, stop_words)
     best = top_terms(weights, clusters.select("id", F.col("cluster").alias("group")), k)
     listed = best.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("top_terms"))
     texts = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, 160).alias("t")).join(clusters, "id")

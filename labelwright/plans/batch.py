@@ -73,7 +73,7 @@ def run_pipeline(raw: DataFrame, labels: Sequence[str], root: str, settings: Set
     chunks = chunk.chunk(docs, settings.chunk_tokens, settings.chunk_overlap, settings.min_chunk_chars, ref_col="ref_label")
     checked = cut(chunk.with_boundaries(chunks, settings.min_chunk_chars, strict=strict).select(*CHUNK.columns))
     validate(checked, CHUNK)
-    marked = cut(dedup.deduplicate(checked, threshold=settings.dedup_threshold))
+    marked = cut(dedup.deduplicate(checked, threshold=settings.dedup_threshold, min_chunk_chars=settings.min_chunk_chars if strict else None))
     kept = cut(marked.where("status = 'kept'").select(*CHUNK.columns))
     if kept.isEmpty():
         raise ValueError("no chunks are left")
@@ -88,7 +88,7 @@ def run_pipeline(raw: DataFrame, labels: Sequence[str], root: str, settings: Set
         metrics = cut(agreement.agreement_bundle(pairs, "chunk_id", batch_id=name))
         validate(metrics, AGREEMENT_METRICS)
         metrics.coalesce(1).write.mode("append").json(f"{root}/metrics")
-        first = annotations.select("model_id", "prompt_sha256").first()
+        first = annotations.select("model_id", "backend_version", "prompt_sha256").first()
         values = {r["metric"]: (r["value"], r["ci_lo"], r["ci_hi"]) for r in metrics.collect()}  # a row per statistic and label
-        RunLog(spark, f"{root}/runs").log(backend=settings.backend, model_id=first["model_id"], prompt_version=settings.prompt_version, prompt_sha256=first["prompt_sha256"], n_items=pairs.count(), metrics=values, config=asdict(settings))
+        RunLog(spark, f"{root}/runs").log(backend=settings.backend, model_id=first["model_id"], prompt_version=settings.prompt_version, prompt_sha256=first["prompt_sha256"], n_items=pairs.count(), metrics=values, config=asdict(settings), backend_version=first["backend_version"], prompt_path=f"prompts/{settings.prompt_version}_classify.md", batch_id=name, labels=labels, seed=settings.seed)
     return {"batch_id": name, "chunks": checked, "dedup": dedup.stats(marked, settings.dedup_threshold), "annotations": annotations, "metrics": metrics}

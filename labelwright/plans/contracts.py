@@ -68,7 +68,7 @@ def violations(df: DataFrame, contract: Contract) -> DataFrame:
     wrong = [f"missing {c}" for c in missing_columns(df, list(contract.columns))] + [f"not allowed {c}" for c in df.columns if c not in contract.columns]
     wrong += [f"{c} is {kinds[c]}, not {t}" for c, t in contract.columns.items() if c in kinds and kinds[c] != t]
     if wrong:
-        raise ValueError(f"Data contract violation ({contract.name}): " + "; ".join(wrong))
+        raise ValueError(f"{contract.name} breaks its contract: " + "; ".join(wrong))
     counts = [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in contract.columns if c not in contract.nullable]
     counts += [(F.count(c) - F.count_distinct(c)).alias(f"repeated {c}") for c in sorted(contract.unique)]
     counts += [F.count_if(~F.expr(sql)).alias(f"not {name}") for name, sql in contract.checks]
@@ -79,5 +79,5 @@ def validate(df: DataFrame, contract: Contract) -> DataFrame:
     """`df`, or a ValueError that names all broken constraints with their counts."""
     broken = {k: v for k, v in violations(df, contract).first().asDict().items() if v}
     if broken:
-        raise ValueError(f"Data contract violation ({contract.name}): " + ", ".join(f"{k}: {v}" for k, v in broken.items()))
+        raise ValueError(f"{contract.name} breaks its contract: " + ", ".join(f"{k}: {v}" for k, v in broken.items()))
     return df

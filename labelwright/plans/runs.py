@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from datetime import datetime, timezone
 from uuid import uuid4
 
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
-RUNS = "run_id string, started_at string, backend string, model_id string, prompt_version string, prompt_sha256 string, n_items bigint, config_json string, notes string, schema_version int"
+RUNS = "run_id string, started_at string, backend string, backend_version string, model_id string, prompt_path string, prompt_version string, prompt_sha256 string, batch_id string, n_items bigint, labels array<string>, config_json string, seed bigint, notes string, schema_version int"
+#: Columns of a list of runs.
+LISTED = ["run_id", "started_at", "backend", "model_id", "prompt_path", "batch_id", "n_items"]
 METRICS = "run_id string, metric string, value double, ci_lo double, ci_hi double"
 
 
@@ -29,18 +32,23 @@ class RunLog:
             return None
         return self.spark.read.schema(schema).parquet(path)
 
-    def log(self, *, backend: str, model_id: str, prompt_version: str, prompt_sha256: str, n_items: int, metrics: dict[str, float | tuple[float, float | None, float | None]], config: dict | None = None, notes: str = "") -> str:
-        """Appends a run; metrics are written first, so that a run that can be seen has all of them."""
+    def log(
+        self, *, backend: str, model_id: str, prompt_version: str, prompt_sha256: str, n_items: int, metrics: dict[str, float | tuple[float, float | None, float | None]], config: dict | None = None, notes: str = "",
+        backend_version: str = "1.0", prompt_path: str = "", batch_id: str = "", labels: Sequence[str] = (), seed: int | None = None, run_id: str | None = None,
+    ) -> str:
+        """Appends a run; metrics are written first, so that a run that can be seen has all of them. An id that is given and there already is an error."""
         if n_items <= 0:
             raise ValueError("n_items must be positive")
         if len(prompt_sha256) != 64:
             raise ValueError("prompt_sha256 must have 64 characters")
-        run_id = uuid4().hex
+        if run_id is not None and not self.runs().where(F.col("run_id") == run_id).isEmpty():
+            raise ValueError(f"run {run_id} is in the log already")
+        run_id = run_id or uuid4().hex[:12]
         rows = [(run_id, k, *(map(lambda x: None if x is None else float(x), v) if isinstance(v, tuple) else (float(v), None, None))) for k, v in metrics.items()]
         if rows:
             self.spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(f"{self.root}/metrics")
         now = datetime.now(timezone.utc).isoformat()
-        run = (run_id, now, backend, model_id, prompt_version, prompt_sha256, n_items, json.dumps(config or {}, sort_keys=True), notes, SCHEMA_VERSION)
+        run = (run_id, now, backend, backend_version, model_id, prompt_path, prompt_version, prompt_sha256, batch_id, n_items, list(labels), json.dumps(config or {}, sort_keys=True), seed, notes, SCHEMA_VERSION)
         self.spark.createDataFrame([run], RUNS).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
         return run_id
 
@@ -65,6 +73,10 @@ class RunLog:
         out["config"] = json.loads(out.pop("config_json"))
         return out
 
-    def export(self, path: str) -> None:
-        """All runs as JSON, one a line."""
-        self.nested().write.mode("overwrite").json(path)
+    def export(self, path: str, run_id: str | None = None) -> None:
+        """All runs, or one, as JSON, one a line; an unknown id is an error."""
+        runs = self.nested()
+        if run_id is not None:
+            self.show(run_id)
+            runs = runs.where(F.col("run_id") == run_id)
+        runs.write.mode("overwrite").json(path)

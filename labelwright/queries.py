@@ -6,13 +6,17 @@ label, `pred` differs in some rows, confidences hit bin edges. Doubles are round
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.functions import text as T
 from labelwright.functions.intervals import wilson
 from labelwright.operators import adversarial, agreement, annotate, baseline, chunk, dedup, drift, evaluate, responses, taxonomy
-from labelwright.plans import contracts
+from labelwright.plans import contracts, study
+from labelwright.plans.materialize import shared_folder
+from labelwright.plans.runs import RunLog
 from labelwright.session import spread, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -223,6 +227,39 @@ def agreement_bundle(spark, sf):
     return r9(agreement.agreement_bundle(pairs, "event_id", batch_id="events"), "value", "ci_lo", "ci_hi")
 
 
+_RATERS = ("r1", "r2", "r3")
+_COMPARED = f"""WITH {RATED}, lng AS (SELECT event_id AS item, true_label AS label FROM rated UNION ALL {" UNION ALL ".join(f"SELECT event_id, {r} FROM rated" for r in _RATERS)}),
+  cnt AS (SELECT item, label, count(*)::BIGINT AS n FROM lng WHERE label IS NOT NULL GROUP BY ALL),
+  it AS (SELECT item, sum(n)::DOUBLE AS m, sum(n::DOUBLE * n) AS sq, sum(n * (n - 1)) AS agr FROM cnt GROUP BY item),
+  fc AS (SELECT * FROM cnt WHERE item IN (SELECT item FROM it WHERE m = 4)),
+  nf AS (SELECT count(*)::BIGINT AS n, avg(agr / 12.0) AS pb FROM it WHERE m = 4),
+  lf AS (SELECT sum(c * c) / (sum(c) * sum(c)) AS pe FROM (SELECT sum(n)::DOUBLE AS c FROM fc GROUP BY label)),
+  o AS (SELECT count(*)::BIGINT AS n, sum(m) AS v, sum((m * m - sq) / (m - 1)) / sum(m) AS d_o FROM it WHERE m >= 2),
+  l AS (SELECT sum(c * c) AS same FROM (SELECT sum(n)::DOUBLE AS c FROM cnt WHERE item IN (SELECT item FROM it WHERE m >= 2) GROUP BY label)),
+  ac AS ({" UNION ALL ".join(f"SELECT '{r}' AS r, count({r})::BIGINT AS n, count(*) FILTER ({r} = true_label)::BIGINT AS n_correct FROM rated" for r in _RATERS)})
+  SELECT 'fleiss_kappa' AS metric, round((pb - pe) / (1 - pe), 9) AS value, NULL::DOUBLE AS ci_lo, NULL::DOUBLE AS ci_hi, n FROM nf, lf
+  UNION ALL SELECT 'krippendorff_alpha', round(1 - d_o / ((v * v - same) / (v * (v - 1))), 9), NULL, NULL, n FROM o, l
+  UNION ALL SELECT 'per_category_agreement:' || label, round(x, 9), NULL, NULL, nf.n FROM (SELECT label, sum(n * (n - 1) / 2.0) / sum(6 - (4 - n) * (3 - n) / 2.0) AS x FROM fc GROUP BY label), nf
+  UNION ALL SELECT 'accuracy:' || r, round(n_correct::DOUBLE / n, 9), {_LO}, {_HI}, n FROM ac"""
+
+
+@query(_COMPARED)
+def rater_comparison(spark, sf):
+    """Three annotators against the reference, by the operator that takes their tables."""
+    rows = rated(spark, sf)
+    of = lambda c: rows.select(F.col("event_id").alias("item_id"), F.col(c).alias("label"))
+    return r9(study.rater_comparison(of("true"), {r: of(r) for r in _RATERS}), "value", "ci_lo", "ci_hi")
+
+
+@query(f"WITH {KNOWN}, s AS (SELECT sum(n)::BIGINT AS n, sum(n) FILTER (t = p)::BIGINT AS n_correct FROM cells) SELECT 'rule' AS backend, 'events' AS batch_id, {_LIST} AS labels, n AS n_items, 'accuracy' AS metric, round(n_correct::DOUBLE / n, 9) AS value, {_LO} AS ci_lo, {_HI} AS ci_hi FROM s")
+def run_log_roundtrip(spark, sf):
+    """A run of the raters' accuracy, logged in a fresh log and read back with its metric."""
+    got = accuracy_wilson(spark, sf).first()
+    log = RunLog(spark, f"{shared_folder(spark)}/runs-{uuid4().hex}")
+    log.log(backend="rule", model_id="events", prompt_version="v1", prompt_sha256="0" * 64, batch_id="events", labels=TYPES, n_items=got["n"], metrics={"accuracy": (got["accuracy"], got["ci_lo"], got["ci_hi"])})
+    return log.nested().select("backend", "batch_id", "labels", "n_items", F.explode("metrics").alias("m")).select("backend", "batch_id", "labels", "n_items", "m.metric", "m.value", "m.ci_lo", "m.ci_hi")
+
+
 @query()
 def bootstrap_kappa_ci(spark, sf):
     return evaluate.bootstrap_ci(cells_of(spark, sf), list(TYPES), "kappa").unionByName(evaluate.bootstrap_ci(cells_of(spark, sf), list(TYPES), "ac1"))
@@ -559,6 +596,13 @@ def synthetic_taxonomy(spark, sf):
     return taxonomy.describe_clusters(rows, taxonomy.cluster(rows))
 
 
+@query()
+def tfidf_hdbscan(spark, sf):
+    """The clusters of the synthetic disagreements, a row each: the largest input that clustering is meant for is a study's disagreements."""
+    rows = taxonomy.synthetic_disagreements(spark)
+    return taxonomy.cluster(rows).join(rows.select(F.col("row_id").alias("id"), "human_theme"), "id")
+
+
 @query()
 def baseline_lr_accuracy(spark, sf):
     """The trained baseline on the held-out half of the labelled documents."""

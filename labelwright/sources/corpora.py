@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,3 +170,33 @@ def write_responses(answers: DataFrame, path: str) -> None:
 
 def render_prompt(template: str, labels: list[str], text: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{labels}"), F.lit(f"[{', '.join(labels)}]")), F.lit("{text}"), text)
+
+
+def parse_labels(text: str) -> list[str]:
+    """Labels of a comma list, trimmed, without empty ones."""
+    return [x.strip() for x in text.split(",") if x.strip()]
+
+
+def append_annotations_csv(rows: DataFrame, path: str) -> None:
+    """Appends annotations, each file with its header; `unfinished` gives the items that are still to be done."""
+    names = [f.split()[0] for f in ANNOTATION_CSV.split(", ")]
+    rows.select(*names).write.mode("append").options(header=True, escape='"').csv(path)
+
+
+def write_abstracts_csv(rows: DataFrame, path: str) -> None:
+    """The study's abstracts, one row a pmid: the least by topic, title and text."""
+    names = [f.split()[0] for f in ABSTRACT_CSV.split(", ")]
+    best = rows.groupBy("pmid").agg(F.min(F.struct(*names[1:])).alias("r")).select("pmid", "r.*")
+    best.select(*names).write.mode("overwrite").options(header=True, escape='"').csv(path)
+
+
+def fetch(get: Callable[[], bytes], retries: int = 3, wait: Callable[[float], None] = time.sleep) -> bytes:
+    """What `get` gives, tried anew after 2, 4, 8, ... seconds when it raises OSError, as network errors are; after the last attempt a ConnectionError."""
+    for attempt in range(retries + 1):
+        try:
+            return get()
+        except OSError as e:
+            last = e
+            if attempt < retries:
+                wait(2.0 * 2**attempt)
+    raise ConnectionError(f"no answer in {retries + 1} attempts: {last}") from last

@@ -118,7 +118,7 @@ def test_run_log(spark, tmp_path):
             log.log(**{**kw, "metrics": {}, **bad})
     log.export(str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
-    spark.createDataFrame([("r", "s", "b", "m", "v", "p", 1, "{}", "", 99)], runs.RUNS).write.mode("append").parquet(str(tmp_path / "log/runs"))
+    spark.createDataFrame([("r", 99)], "run_id string, schema_version int").write.mode("append").parquet(str(tmp_path / "log/runs"))
     with pytest.raises(ValueError, match="version"):
         runs.RunLog(spark, str(tmp_path / "log"))
 
