@@ -16,7 +16,6 @@ to learn from.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from labelwright.llm import common, lattice_sampling, mixing, quality_classifier, quality_rules, simhash
 from labelwright.session import table
@@ -32,8 +31,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    good = quality_classifier.scored(docs, model).where(F.col("score") >= quality_classifier.PREDICT_AT)
-    return good.select(*docs.columns)
+    return quality_classifier.keep_good(docs, model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder and read from there, so that a lost executor costs no recomputation.
 
-    The folder is the one the session names in spark.checkpoint.dir; a folder of our own is set only where that is unset.
+    The folder is the one the session names in spark.checkpoint.dir; a folder of our own is set only where that is unset and
+    Spark is local, as other machines couldn't read it.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -34,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if known.isDefined():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     context.setCheckpointDir(named or _own_folder())
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -73,18 +73,20 @@ def with_copies(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source
     """Adds `_mix_size`, `_mix_target`, `_mix_rate` of each document's source and `_mix_copies`, how often the mix takes it.
 
     The table of sources is joined without a hint: Spark broadcasts it when it has measured it to be small, and else
-    splits the partitions of hot sources.
+    splits the partitions of hot sources. Columns of `docs` with the names of those added are replaced.
     """
+    docs = docs.drop("_mix_source", "_mix_size", "_mix_target", "_mix_rate", "_mix_copies")
     extra = (unit_hash(F.col(key), salt) < F.col("_mix_rate") - F.floor("_mix_rate")).cast("bigint")
     joined = docs.join(targets, docs[source].eqNullSafe(targets["_mix_source"]), "left").drop("_mix_source")
     return joined.withColumn("_mix_copies", F.floor("_mix_rate") + extra)
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", max_repeat: int = MAX_REPEAT, salt: str = SALT) -> DataFrame:
-    """The mixed documents, with the columns of `docs`; a document that is taken twice is there twice."""
+    """The mixed documents, with the columns of `docs`, whatever their names; a document that is taken twice is there twice."""
     targets = source_targets(docs, word_count(F.col(text)), source, max_repeat=max_repeat)
-    dealt = with_copies(docs, targets, key, source, salt).where("_mix_copies > 0")
-    return dealt.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("_mix_row"), F.col(key).alias("_mix_key"), F.col(source).alias("_mix_from"))
+    dealt = with_copies(rows, targets, "_mix_key", "_mix_from", salt).where("_mix_copies > 0")
+    return dealt.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))).select("_mix_row.*")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,17 +190,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return fit(np.array([r[3:] for r in got], float), np.array([r[1] for r in got], int))
 
 
-def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
-    """`docs` with `score`; a column of that name is replaced, all others are kept, whatever their names.
+def scored(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with the score in column `out`; a column of that name is replaced, all others are kept, whatever their names.
 
     The statistics of a row are fields of one struct, and the score comes out of a generator of one element: a filter on
     the score is not pushed below a generator, where it would compute the statistics again for every rule.
     """
-    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "score"]
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != out]
     counted = docs.select(F.struct("*").alias("_row"), *[e.alias(n) for n, e in statistics(F.col(f"`{text}`")).items()])
     inputs = counted.select("_row", *[e.alias(f"_s_{n}") for n, e in derived().items()])
     score = model.score([F.col(f"_s_{n}") for n in derived()])
-    return inputs.select("_row", F.explode(F.array(score)).alias("_score")).select(*kept, F.col("_score").alias("score"))
+    return inputs.select("_row", F.explode(F.array(score)).alias("_score")).select(*kept, F.col("_score").alias(out))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, text: str = "text", at: float = PREDICT_AT) -> DataFrame:
+    """The rows of `docs` whose score is `at` or more, with the columns of `docs`, one that is called `score` too."""
+    out = "score"
+    while out in docs.columns:
+        out += "_"
+    return scored(docs, model, text, out).where(F.col(out) >= at).drop(out)
 
 
 def held_out(key: Column) -> Column:

@@ -242,7 +242,9 @@ def judge(texts: DataFrame, key: str, text: str, field: LineField) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept, with the columns of `docs`."""
+    """The rows of `docs` that are kept, with the columns of `docs`, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text)
 
     def good(text: str | None) -> bool:
         n, _, _, _, repeated = text_counts(text or "")
@@ -250,9 +252,9 @@ def keep_good(docs: DataFrame, field: LineField, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield batch.filter(pa.array(map(good, batch.column(text).to_pylist()), pa.bool_()))
+            yield batch.filter(pa.array(map(good, batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

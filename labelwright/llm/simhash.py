@@ -265,7 +265,7 @@ def alike_links(sets: dict[int, np.ndarray], similarity: float) -> list[tuple[in
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of `docs`: of its smallest id, and of one text (the smallest digest) where several have that id. A null
-    id comes after all others, so such a row stays only where its group has no id. Of rows that repeat an id and a text one stays."""
+    id comes after all others, so such a row stays only where its group has no id. Of rows that repeat an id and a text one stays. Columns are kept whatever their names."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     least = cut(docs.groupBy(node.alias("node")).agg(F.min(F.col(key).cast("bigint")).alias("least")))
     firsts = docs.select(F.col(key).cast("bigint").alias("_id"), node.alias("node"), F.col(text).alias("_text"))
@@ -305,8 +305,8 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
     first = F.struct(F.col("least").isNull().alias("_no_id"), F.coalesce("least", F.lit(0)).alias("_id"), F.col("node").alias("_node"))
     kept = rooted.groupBy("root").agg(F.min(first).alias("first")).select("first.*")
     own = F.col(key).cast("bigint")
-    rows = docs.withColumns({"_no_id": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_node": node})
-    return rows.join(kept, ["_no_id", "_id", "_node"], "left_semi").dropDuplicates(["_no_id", "_id", "_node"]).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), own.isNull().alias("_no_id"), F.coalesce(own, F.lit(0)).alias("_id"), node.alias("_node"))
+    return rows.join(kept, ["_no_id", "_id", "_node"], "left_semi").dropDuplicates(["_no_id", "_id", "_node"]).select("_row.*")
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
