@@ -87,6 +87,13 @@ def test_lexicon(spark):
     assert annotations(spark, ["great, I love it"], annotate.REVIEWS)[0][0] == "positive"
 
 
+def test_a_filter_on_annotations_does_not_search_again(spark):
+    rows = annotate.annotate(spark.createDataFrame([("1", "a great day"), ("2", None)], "chunk_id string, text string"), ["positive", "negative"])
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert 0 < searches(rows) == searches(rows.where("parsed_ok AND label = 'positive'"))
+    assert [r["chunk_id"] for r in rows.where("parsed_ok").collect()] == ["1"] and rows.count() == 2
+
+
 def test_adversarial_goldens(spark):
     traps = adversarial.by_trap(adversarial.annotated(adversarial.cases(spark)))
     got = {r["trap_type"]: (r["correct"], r["n"]) for r in traps.collect()}
