@@ -17,7 +17,7 @@ is a chain of small lattices. A search node has two children: one edge that leav
 and all other edges there together. Along a path all nodes have the number of the path's top node, and the rest at each
 place gets a Gumbel around its log-probability held below that number; so all words of many texts are expanded at once
 with numpy. Of a path's rests only the k largest can ever be taken. Lattices of words are remembered by a task, up to
-MEMO of them. Draws depend on the row's key, the sample, the word's place and the step alone. Log-probabilities of
+MEMO of them; then those that were asked for once are forgotten. Draws depend on the row's key, the sample, the word's place and the step alone. Log-probabilities of
 edges and the running sums that draw them are held in fixed point, whose sums are the same in any order, so that a row's
 result doesn't depend on the rows that are expanded with it.
 
@@ -176,6 +176,8 @@ class Lattices:
         #: In units of _LOG_UNIT.
         self.log_q = np.empty(0, np.int64)
         self.log_rest, self.reach = (np.empty(0, np.float32) for _ in range(2))
+        #: By state; how often a word was asked for stands at its first one.
+        self.asked = np.empty(0, np.int32)
         #: A piece's id, or -1 - i for the i-th spelling.
         self.after, self.piece = (np.empty(0, np.int32) for _ in range(2))
         self.spellings: list[list[int]] = []
@@ -192,6 +194,33 @@ class Lattices:
         room[len(old) : n] = more
         setattr(self, name, room[:n])
 
+    def forget(self) -> None:
+        """Keeps the words that were asked for more than once, MEMO / 2 at most, and halves the numbers of times."""
+        first = np.fromiter(self.first.values(), np.int64, len(self.first))  # words and their states are in one order
+        size = np.diff(first, append=len(self.start) - 1)
+        asked = self.asked[first]
+        kept = np.nonzero(asked > 1)[0]
+        kept = np.sort(kept[np.argsort(-asked[kept], kind="stable")[: MEMO // 2]])
+        every = list(self.first)
+        units, first, size = [every[i] for i in kept.tolist()], first[kept], size[kept]
+        begin, states = np.cumsum(size) - size, _ranges(first, size)
+        of_word = self.start[first + size] - self.start[first]
+        edges = _ranges(self.start[first], of_word)
+        after, piece = self.after[edges], self.piece[edges]
+        after[after >= 0] += np.repeat(begin - first, of_word)[after >= 0].astype(np.int32)
+        spelt = np.nonzero(piece < 0)[0]
+        spellings = [self.spellings[-1 - p] for p in piece[spelt].tolist()]
+        piece[spelt] = -1 - np.arange(len(spelt))
+        still = np.zeros(len(states), np.int32)
+        still[begin] = asked[kept] // 2
+        grown = {"start": np.cumsum(self.start[states + 1] - self.start[states]), "asked": still, "after": after, "piece": piece}
+        grown |= {name: getattr(self, name)[edges] for name in ("log_q", "log_rest", "reach")}
+        self.clear()
+        for name, more in grown.items():
+            self._append(name, more)
+        self.spellings = spellings
+        self.first.update(zip(units, begin.tolist()))
+
     def add(self, units: list[bytes]) -> None:
         """Builds the lattices of different words that aren't known yet, all at once."""
         if not units:
@@ -232,6 +261,8 @@ class Lattices:
         # What all segmentations from each place have together, from the words' ends backwards.
         total = np.zeros(n + 1)
         score = np.empty(len(at))
+        to = at + size
+        last = to == end[at]
         left = end - np.arange(n)
         by_left = np.argsort(left, kind="stable")
         cuts = np.cumsum(np.bincount(left))
@@ -240,8 +271,7 @@ class Lattices:
             if not len(places):
                 continue
             edges = _ranges(begin[places], count[places])
-            to = at[edges] + size[edges]
-            value = weight[edges] + np.where(to == end[at[edges]], 0.0, total[to])
+            value = weight[edges] + np.where(last[edges], 0.0, total[to[edges]])
             score[edges] = value
             heads = np.cumsum(count[places]) - count[places]
             top = np.maximum.reduceat(value, heads)
@@ -263,12 +293,11 @@ class Lattices:
         base = len(self.start) - 1
         piece[piece < 0] -= len(self.spellings)
         self.spellings += spellings
-        to = at + size
         with np.errstate(divide="ignore"):
             log_q = np.rint(np.clip(np.log(q), -1e4, 0.0) / _LOG_UNIT).astype(np.int64)
             grown = {
-                "log_q": log_q, "log_rest": np.log(rest).astype(np.float32), "reach": reach.astype(np.float32), "after": np.where(to == end[at], -1, to + base).astype(np.int32), "piece": piece.astype(np.int32),
-                "start": len(self.log_q) + np.cumsum(count),
+                "log_q": log_q, "log_rest": np.log(rest).astype(np.float32), "reach": reach.astype(np.float32), "after": np.where(last, -1, to + base).astype(np.int32), "piece": piece.astype(np.int32),
+                "start": len(self.log_q) + np.cumsum(count), "asked": np.zeros(n, np.int32),
             }
         for name, more in grown.items():
             self._append(name, more)
@@ -285,7 +314,13 @@ class Lattices:
         self.add([each[i] for i in new])
         for i in new:
             found[i] = self.first[each[i]]
-        return np.array(found, np.int64)
+        states = np.array(found, np.int64)
+        self.asked[states] += 1
+        return states
+
+    def state_of(self, edge: int) -> int:
+        """The state that an edge leaves."""
+        return int(np.searchsorted(self.start, edge, "right")) - 1
 
     def ids_of(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces of some edges, and how many each edge has."""
@@ -353,8 +388,7 @@ class Expansion:
     """Paths below some nodes, one for each text. Edges are in path order; `cut` has where each text's begin."""
 
     edges: np.ndarray
-    state: np.ndarray
-    unit: np.ndarray
+    word: np.ndarray  # the place in `state` and `unit` of the word that each edge is in
     step: np.ndarray
     before: np.ndarray  # log-probability of the path before the edge
     cut: np.ndarray
@@ -373,27 +407,32 @@ def expand(lat: Lattices, state: np.ndarray, text: np.ndarray, unit: np.ndarray,
     while len(alive):
         h = _mix(word_seed[alive] + (step.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03))
         pick = _draw(lat, at, _unit(h))
-        parts.append((pick, at, alive, step, h))
+        parts.append((pick, alive, step, h))
         at = lat.after[pick]
         go = at >= 0
         alive, at, step = alive[go], at[go], step[go] + 1
     # Parts come by steps; here edges go to their places by word and step.
-    words = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, np.int64)
+    words = np.concatenate([np.empty(0, np.int64), *[p[1] for p in parts]])
     count = np.bincount(words, minlength=len(state))
-    goes = (np.cumsum(count) - count - step0)[words] + (np.concatenate([p[3] for p in parts]) if parts else 0)
-    picked, states, word, stepped, h = (np.empty(len(words), t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    for i, out in enumerate((picked, states, word, stepped, h)):
-        out[goes] = np.concatenate([p[i] for p in parts]) if parts else 0
-    of_text = text[word]
+    begin = np.cumsum(count) - count
+    goes = (begin - step0)[words] + np.concatenate([np.empty(0, np.int64), *[p[2] for p in parts]])
+    picked, h = np.empty(len(words), np.int64), np.empty(len(words), np.uint64)
+    picked[goes] = np.concatenate([picked[:0], *[p[0] for p in parts]])
+    h[goes] = np.concatenate([h[:0], *[p[3] for p in parts]])
+    word = np.repeat(np.arange(len(state)), count)
+    stepped = np.arange(len(words)) + (step0 - begin)[word]
+    of_text = np.repeat(text, count)
     cut = np.searchsorted(of_text, np.arange(n_texts + 1))
     run = np.concatenate((np.zeros(1, np.int64), np.cumsum(lat.log_q[picked])))
-    before = (run[:-1] - run[cut[of_text]]) * _LOG_UNIT + phi[of_text]
+    long = np.diff(cut)
+    before = (run[:-1] - np.repeat(run[cut[:-1]], long)) * _LOG_UNIT + np.repeat(phi, long)
     whole = (run[cut[1:]] - run[cut[:-1]]) * _LOG_UNIT + phi
     open_value, open_at = np.full((n_texts, k), -np.inf), np.full((n_texts, k), -1)
-    some = np.nonzero(lat.log_rest[picked] > -np.inf)[0]
+    rest = lat.log_rest[picked]
+    some = np.nonzero(rest > -np.inf)[0]
     if len(some):
         owner = of_text[some]
-        number = _below(value[owner], before[some] + lat.log_rest[picked[some]], _unit(_mix(h[some] + _SPREAD)))
+        number = _below(value[owner], before[some] + rest[some], _unit(_mix(h[some] + _SPREAD)))
         begin = np.nonzero(np.diff(owner, prepend=-1))[0]
         texts, size, index = owner[begin], np.diff(np.append(begin, len(number))), np.arange(len(number))
         for r in range(k):
@@ -402,7 +441,7 @@ def expand(lat: Lattices, state: np.ndarray, text: np.ndarray, unit: np.ndarray,
             found = best > -np.inf
             open_value[texts[found], r], open_at[texts[found], r] = best[found], some[spot[found]]
             number[spot[found]] = -np.inf
-    return Expansion(picked, states, unit[word], stepped, before, cut, whole, open_value, open_at)
+    return Expansion(picked, word, stepped, before, cut, whole, open_value, open_at)
 
 
 @dataclass
@@ -488,7 +527,8 @@ def sample_texts(states: np.ndarray, sizes: np.ndarray, seeds: list[int], lat: L
                 if at < 0:
                     break
                 head = np.concatenate((heads[row], got.edges[a:at]))
-                heaps[row].append(Rest(number, head, int(got.unit[at]), int(got.step[at]), int(got.state[at]), float(got.before[at]), (int(got.edges[at]),)))
+                edge = int(got.edges[at])
+                heaps[row].append(Rest(number, head, int(unit[got.word[at]]), int(got.step[at]), lat.state_of(edge), float(got.before[at]), (edge,)))
             heaps[row].sort(key=lambda x: -x.number)
         if r == k - 1:
             break
@@ -553,7 +593,7 @@ def encode_texts(texts: pa.Array | Sequence[str | None], keys: list[object], lat
     at = 0
     while at < len(texts):
         if len(lat.first) > MEMO:
-            lat.clear()
+            lat.forget()
         before = upto[at - 1] if at else 0
         first, at = at, max(at + 1, int(np.searchsorted(upto, before + CHUNK, "right")))
         # Blanks are written `▁` in pieces, so that both read alike; each text that isn't empty gets one to begin with.

@@ -229,6 +229,22 @@ def test_samples_do_not_depend_on_other_rows(words):
         assert [view(alone, at) for at in range(len(alone.row))] == whole[row] and alone.round_trip.all()
 
 
+def test_frequent_words_are_built_once(words, monkeypatch):
+    rng = random.Random(10)
+    often = ["cat", "née", "中文", "Ж☃b", "unbelievable", "x1!"]
+    rare = ["".join(rng.choice("abcdeé中") for _ in range(8)) for _ in range(3000)]
+    texts = [" ".join([*often, *rare[at : at + 10], *often]) for at in range(0, 3000, 10)]
+    view = lambda got: [(f.row.tolist(), f.ids.tolist(), f.ends.tolist(), f.log_prob.tolist(), f.log_inclusion.tolist(), f.round_trip.all()) for f in got]
+    monkeypatch.setattr(lattice_sampling, "CHUNK", 1000)
+    want = view(lattice_sampling.encode_texts(texts, list(range(len(texts))), lattice_sampling.Lattices(words), 2))
+    monkeypatch.setattr(lattice_sampling, "MEMO", 200)
+    lat, built, most = lattice_sampling.Lattices(words), collections.Counter(), []
+    add = lat.add
+    monkeypatch.setattr(lat, "add", lambda units: (built.update(units), most.append(len(lat.first)), add(units)))
+    assert view(lattice_sampling.encode_texts(texts, list(range(len(texts))), lat, 2)) == want
+    assert all(built[f" {w}".encode()] == 1 for w in often[:-1]) and max(most) <= 200 and built.total() > 3000
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 URLS = ["http://A.Example.NET/en/1?x#y", "https://example.net/fr/2", "http://example.com/de/3", "http://m.example.com/den", "http://x.org/fr/a", "http://notexample.net?q", "net/en", None, "", "ftp://x.net", "http://h.y/a/b//c#d/e", "http://EXAMPLE.net/en/"]
 
