@@ -34,12 +34,22 @@ FOLDS = 5
 TREES = 40
 DEPTH = 3
 MIN_LEAF = 20
+#: Code points of texts whose matches are held as an array.
+SHORT = 100_000
 
 
 def _count(text: Column, pattern: str) -> Column:
+    """Matches of a pattern over words, which are no more than the words; they are held as an array."""
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _count_chars(text: Column, chars: str) -> Column:
+    """Characters of a class. In a text of over SHORT each is written with one more, as an array of all of them may be many times the text."""
+    whole = F.make_valid_utf8(text)
+    added = F.length(F.regexp_replace(whole, F.lit(chars), F.lit("$0."))) - F.length(whole)
+    return F.when(F.length(text) <= SHORT, F.regexp_count(text, F.lit(chars))).otherwise(added)
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Raw counts of a text, computed once a row; `derived` makes ratios of them. Null counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -47,14 +57,14 @@ def statistics(text: Column) -> dict[str, Column]:
         "_c_chars": F.length(t),
         "_c_words": F.size(words_of(t)),
         "_c_distinct": F.size(F.array_distinct(words_of(t))),
-        "_c_upper": _count(t, "[A-Z]"),
-        "_c_symbols": _count(t, r"[#*$%&|<>]"),
+        "_c_upper": _count_chars(t, "[A-Z]"),
+        "_c_symbols": _count_chars(t, r"[#*$%&|<>]"),
         "_c_pipes": F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit(""))),
         "_c_bangs": F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))),
-        "_c_digits": _count(t, "[0-9]"),
-        "_c_ends": _count(t, "[.?:;]"),
+        "_c_digits": _count_chars(t, "[0-9]"),
+        "_c_ends": _count_chars(t, "[.?:;]"),
         "_c_commas": F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))),
-        "_c_marks": _count(t, r"[@/_=+{}\[\]()\\~^]"),
+        "_c_marks": _count_chars(t, r"[@/_=+{}\[\]()\\~^]"),
         "_c_lines": F.size(F.split(t, "\n")),
         "_c_distinct_lines": F.size(F.array_distinct(F.split(t, "\n"))),
         "_c_twice": _count(t, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])"),

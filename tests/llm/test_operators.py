@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -656,6 +657,17 @@ def test_compiled_rules_are_the_model(spark):
     assert np.allclose(got, want) and ((got > 0.5) == y).mean() > 0.97
 
 
+def test_counts_of_characters_in_long_texts_hold_no_array(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "SHORT", 5, raising=False)
+    texts = ["", "A", "AB cd 12! a a a", "x x  y y\ny", "ÀÉ [a](b) ~^ 9.9: ;?", "The the The The #\t# b", None]
+    patterns = {"words": r"[^ \t-\r]+", "upper": "[A-Z]", "symbols": r"[#*$%&|<>]", "digits": "[0-9]", "ends": "[.?:;]", "marks": r"[@/_=+{}\[\]()\\~^]", "short": r"(?<![^ \t-\r])[^ \t-\r]{1,3}(?![^ \t-\r])", "twice": r"(?<![^ \t-\r])([^ \t-\r]+)[ \t-\r]+\1(?![^ \t-\r])"}
+    df = docs(spark, list(enumerate(texts)))
+    counted = df.select("doc_id", *[e.alias(n) for n, e in quality_classifier.statistics(F.col("text")).items()])
+    for r in counted.collect():
+        assert {n: r[f"_c_{n}"] for n in patterns} == {n: len(list(re.finditer(p, texts[r["doc_id"]] or ""))) for n, p in patterns.items()}
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") >= 5
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 def truth_of(page):
     """The marked text of a labelled page."""
