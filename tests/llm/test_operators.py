@@ -48,6 +48,46 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """16 shuffle partitions that are not coalesced, so that small graphs are in many tasks too."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield 16
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_take_few_tasks(spark, many_partitions):
+    """The driver keeps something of every task, so a graph of stars and short paths has to do with few rounds of short plans."""
+    rng = random.Random(2)
+    edges = [(10**9, i) for i in range(1, 2000)] + [(-5, -i) for i in range(6, 2000)] + [(x + j, x + j + 1) for x in range(10_000, 12_000, 10) for j in range(4)]
+    edges += [(rng.randrange(2**40, 2**40 + 500), rng.randrange(2**40, 2**40 + 500)) for _ in range(200)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    context = spark.sparkContext
+    context.setJobGroup("components", "components")
+    try:
+        got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(many_partitions)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["root"] for r in got} == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numCompletedTasks for s in stages if s) <= 50 * many_partitions
+
+
 # 1 ---------------------------------------------------------------------------------------------------------------------
 def brute_targets(sizes, cap=3):
     """Shares by weight, the excess over cap times the size shared again, step by step."""
