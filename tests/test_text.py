@@ -3,12 +3,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from labelwright import queries
 from labelwright.functions import text as T
-from labelwright.operators import adversarial, annotate, baseline, chunk, dedup, responses, taxonomy
+from labelwright.operators import adversarial, annotate, baseline, chunk, dedup, responses, shingling, taxonomy
 
 NEAR = "the quick brown fox jumps over the lazy dog near the quiet river bank while the morning sun rises slowly over the distant misty hills and the birds begin to sing their early songs of joy and peace"
 
@@ -58,6 +59,19 @@ def test_chunks(spark, n, tokens, overlap):
     assert all(c["text"][-1] in ".!?" and c["n_chars"] == len(c["text"]) for c in got)
 
 
+def test_chunks_come_a_few_documents_at_a_time():
+    """A task that made the windows of a whole Arrow batch at once held thousands of documents as Python objects."""
+    sentence = "Sentence with quite a few words in it, and some more of them."
+    docs = [(f"d{i}", [f"{i} {sentence}"] * 20, None) for i in range(3000)] + [("long", [sentence] * 200_000, None), ("none", [], None)]
+    kinds = pa.schema([("doc_id", pa.string()), ("s", pa.list_(pa.string())), ("ref_label", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*docs), kinds.types)], schema=kinds)
+    out = list(chunk.chunked(iter([batch]), 1024, 0.15, 40))
+    assert max(len(set(b.column("doc_id").to_pylist())) for b in out) <= shingling.ROWS
+    whole = [r for b in out for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "chunk_index", "text")))]
+    want = [(d, i, t) for d, s, _ in docs[:40] for i, t in enumerate(brute_chunks(s, 256, 0.15, 40))]
+    assert whole[: len(want)] == want and [d for d, i, _ in whole if i == 0] == [d for d, s, _ in docs if s]
+
+
 def test_chunk_guards(spark):
     assert chunks_of(spark, "   ") == [] and chunks_of(spark, None) == []
     with pytest.raises(ValueError):
@@ -141,6 +155,59 @@ def test_near_pairs_against_brute_force(spark):
     assert {(r["a"], r["b"]) for r in dedup.near_pairs(items(spark, texts), "chunk_id", "text").collect()} == want
 
 
+ODD = [" Ä  b\u00a0C\td e f ", "a b c", "x", "", None, "a b c d e a b c d e a b c d e", NEAR, "İ ß ſ \u2028 q w e r t y"]
+
+
+def test_shingles_in_arrow_equal_sparks(spark):
+    df = items(spark, ODD)
+    of = F.transform(T.shingles(F.col("text")), lambda s: F.xxhash64(s))
+    want = {r["chunk_id"]: r["h"] for r in df.select("chunk_id", of.alias("h")).collect()}
+    assert {r["id"]: r["n_shingles"] for r in shingling.counted(df, "chunk_id", "text").collect()} == {k: len(v) for k, v in want.items()}
+    least = F.array(*[F.array_min(F.transform(of, lambda h: F.xxhash64(h, F.lit(p)))) for p in range(20)])
+    mins = {r["chunk_id"]: r["m"] for r in df.select("chunk_id", least.alias("m")).collect()}
+    assert {r["id"]: r["sig"] for r in shingling.signed(df, "chunk_id", "text", 5, 20).collect()} == mins
+    values, sizes = np.random.default_rng(1).integers(-(2**63), 2**63, 40_000), np.array([1, 30_000, 2, 9_997])
+    got, ends = shingling.signatures(values, sizes, 3), np.cumsum(sizes)
+    assert all((got[i] == shingling.signatures(values[e - n : e], np.array([n]), 3)[0]).all() for i, (e, n) in enumerate(zip(ends, sizes)))
+
+
+def test_shingle_queries_interpret_no_function_for_each_shingle(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.shingle_counts(spark, str(tmp_path))
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["n_shingles"] for r in df.collect()} == {i: len(shingling.hashes(one(spark, t, T.normalize).encode(), 5)) for i, t in enumerate(ODD) if t}
+
+
+def test_common_passages_bring_no_pairs_together(spark, monkeypatch):
+    """60 texts with a common passage of a third of their words; the shingles of the passage come last."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(60)] + ["", None]
+    texts += [texts[0] + " more", texts[1].replace("p7 ", "p8 ")]
+    df = items(spark, texts)
+    packed = shingling.packed(df, "chunk_id", "text").cache()
+    often = shingling.prefixes(packed, 5, 0.8, np.empty(0, np.int64)).groupBy("h").agg(F.count("*").alias("df")).where("df > 16").cache()
+    late = shingling.late_ones(often, 1000)
+    assert 0 < len(late) == often.count() and len(shingling.late_ones(often, 0)) == 0
+    before, after = (shingling.shared_only(shingling.prefixes(packed, 5, 0.8, x)).count() for x in (np.empty(0, np.int64), late))
+    assert after < before / 2
+    want = {("c1", "c63"), ("c2", "c64")}
+    assert {(r["a"], r["b"]) for r in dedup.near_pairs(df, "chunk_id", "text").collect()} == want
+    monkeypatch.setattr(dedup, "MOST_LATE", 0)
+    assert {(r["a"], r["b"]) for r in dedup.near_pairs(df, "chunk_id", "text").collect()} == want
+
+
+def test_near_pairs_shuffle_no_sets_of_hashes(spark):
+    """Texts go through the exchanges compressed; arrays of hashes took more than the texts."""
+    df = dedup.near_pairs(items(spark, [NEAR, NEAR + " now", "other"]), "chunk_id", "text")
+    assert "array<bigint>" not in "".join(x.dataType().simpleString() for x in iter_plan(df)) and df.count() == 1
+
+
+def iter_plan(df):
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return [f for i in range(leaves.size()) for f in [leaves.apply(i).schema().apply(j) for j in range(leaves.apply(i).schema().size())]]
+
+
 def test_band_candidates_find_very_near_texts(spark):
     got = dedup.band_candidates(items(spark, [NEAR, NEAR, "something else"]), "chunk_id", "text").collect()
     assert [(r["a"], r["b"]) for r in got] == [("c1", "c2")]
