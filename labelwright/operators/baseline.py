@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelwright.operators.taxonomy import tfidf
+from labelwright.operators.taxonomy import vectors, vocabulary
 from labelwright.plans.materialize import cut
 
 
@@ -18,25 +18,38 @@ def stratified_head(rows: DataFrame, stratum: str, id_col: str, n: int, seed: in
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
 
 
+#: Shares by digest that a stratum is ranked in.
+SHARES = 4096
+
+
 def stratified_split(rows: DataFrame, stratum: str, id_col: str, share: float = 0.5, seed: int = 7) -> DataFrame:
-    """Adds `is_test`: of each stratum a share, in a seeded order, rounded down."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col))
-    return rows.withColumn("is_test", rank <= F.floor(F.count("*").over(w) * share))
+    """Adds `is_test`: of each stratum a share, in a seeded order, rounded down.
+
+    The order is by digest, so a row's rank is its rank among the rows of its stratum whose digest begins alike and the
+    number of rows before these; no task gets a whole stratum.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    part = F.coalesce(F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"), F.lit(-1))  # a null id comes first
+    marked = rows.withColumns({"_digest": digest, "_part": part})
+    parts = marked.groupBy(F.col(stratum).alias("_stratum"), F.col("_part").alias("_in")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("_stratum")
+    facts = parts.select("_stratum", "_in", (F.sum("n").over(w.orderBy("_in")) - F.col("n")).alias("_before"), F.sum("n").over(w).alias("_all"))
+    joined = marked.join(facts, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_part") == F.col("_in")))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy(stratum, "_part").orderBy("_digest", id_col))
+    return joined.withColumn("is_test", rank <= F.floor(F.col("_all") * share)).select(*rows.columns, "is_test")
 
 
 def predict(rows: DataFrame, id_col: str, text_col: str, label_col: str, max_features: int = 5000, c: float = 1.0, seed: int = 7) -> DataFrame:
     """id, label, predicted of the test half; vocabulary and model come from the training half alone.
 
-    Features are a sparse vector a document over at most `max_features` terms; numbers of terms come from a table of that size.
+    Features are a sparse vector a document over at most `max_features` terms, which come to the driver and go to all tasks.
     """
     split = cut(stratified_split(rows.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")), "label", "id", 0.5, seed))
-    weights = tfidf(split, "id", "text", max_features, None, 2, True, fitted_on=split.where("NOT is_test"))
-    numbered = cut(weights.select("term").distinct().orderBy("term").withColumn("at", F.row_number().over(Window.orderBy("term")) - 1))
-    width = numbered.count()
-    entries = weights.join(F.broadcast(numbered), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "weight"))).alias("w"))
-    sparse = F.udf(lambda at, weight: Vectors.sparse(max(1, width), at or [], weight or []), VectorUDT())
-    data = cut(split.join(entries, "id", "left").select("id", "label", "is_test", sparse("w.at", "w.weight").alias("features")))
+    known = vocabulary(split.where("NOT is_test"), "id", "text", max_features)
+    width = max(1, len(known))
+    sparse = F.udf(lambda at, weight: Vectors.sparse(width, at or [], weight or []), VectorUDT())
+    entries = vectors(split, "id", "text", known, sublinear=True)
+    data = cut(split.drop("text").join(entries, "id", "left").select("id", "label", "is_test", sparse("at", "weight").alias("features")))
     train = data.where("NOT is_test")
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
     n = train.count()

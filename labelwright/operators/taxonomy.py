@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelwright.functions.text import first_best, keywords_present
+from labelwright.operators.shingling import slices
 from labelwright.sources.corpora import RESPONSE
 
 # Themes in their order, which decides ties, and their keywords.
@@ -123,6 +127,82 @@ def terms(text: Column, stop_words: list[str] | None = None, ngrams: int = 2) ->
     return F.get(F.transform(F.array(found), grams), F.lit(0))
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None) -> DataFrame:
+    """id, w: the words of each row; rows of one id come one after another."""
+    return docs.select(F.col(id_col).alias("id"), terms(F.col(text_col), stop_words, 1).alias("w")).repartition("id").sortWithinPartitions("id")
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], ngrams: int) -> Iterator[tuple[object, Counter]]:
+    """The id and the counts of terms of each document; rows that repeat an id are one."""
+    last, counts = None, None
+    for batch in slices(batches, "w"):
+        for key, w in zip(batch.column("id").to_pylist(), batch.column("w").to_pylist()):
+            if counts is None or key != last:
+                if counts is not None:
+                    yield last, counts
+                last, counts = key, Counter()
+            counts.update(w)
+            for n in range(2, ngrams + 1):
+                counts.update(map(" ".join, zip(*(w[i:] for i in range(n)))))
+    if counts is not None:
+        yield last, counts
+
+
+#: Different terms whose counts a task gathers before it gives them out.
+GATHERED = 300_000
+
+
+def vocabulary(docs: DataFrame, id_col: str, text_col: str, max_features: int, stop_words: list[str] | None = None, ngrams: int = 2) -> dict[str, float]:
+    """The idf, ln((1 + n) / (1 + df)) + 1, of the `max_features` most frequent terms, by term on a tie, in order of terms.
+
+    Tasks sum up the terms of many documents before anything is shuffled; so many terms as are asked for come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        df: Counter = Counter()
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[t] for t in total], pa.int64())], ["term", "total", "df"])
+        for _, counts in _term_counts(batches, ngrams):
+            total.update(counts)
+            df.update(counts.keys())
+            if len(total) > GATHERED:
+                yield give()
+                total.clear(), df.clear()
+        yield give()
+
+    found = _documents(docs, id_col, text_col, stop_words).mapInArrow(run, "term string, total bigint, df bigint")
+    frequent = found.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+    n = docs.count()
+    rows = frequent.select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+    return {r["term"]: r["idf"] for r in sorted(rows)}
+
+
+def vectors(docs: DataFrame, id_col: str, text_col: str, known: dict[str, float], stop_words: list[str] | None = None, ngrams: int = 2, sublinear: bool = False) -> DataFrame:
+    """id, at, weight: of each document with a term of `known` the numbers of its terms and their weights, as `tfidf` has them."""
+    numbers = {t: i for i, t in enumerate(known)}
+    idf = np.fromiter(known.values(), float, len(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        ats: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ats, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "at", "weight"])
+        for key, counts in _term_counts(batches, ngrams):
+            got = sorted((numbers[t], c) for t, c in counts.items() if t in numbers)
+            if got and key is not None:
+                at, tf = np.array(got, np.int32).T
+                w = (1 + np.log(tf) if sublinear else tf) * idf[at]
+                ids.append(key), ats.append(at), weights.append(w / np.sqrt((w * w).sum()))
+            if len(ids) >= 512:
+                yield give()
+                ids, ats, weights = [], [], []
+        yield give()
+
+    rows = _documents(docs, id_col, text_col, stop_words)
+    kind = to_arrow_type(rows.schema["id"].dataType)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at array<int>, weight array<double>")
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int | None = 2000, stop_words: list[str] | None = None, ngrams: int = 2, sublinear: bool = False, fitted_on: DataFrame | None = None) -> DataFrame:
     """Long form id, term, weight: tf (1 + ln tf if sublinear) times ln((1 + n) / (1 + df)) + 1, each document scaled to length 1. Of the terms the `max_features` most frequent are kept, by term on a tie. Terms, n and df are those of `fitted_on`, if that is given, and else of `docs`."""
 

@@ -1,5 +1,6 @@
 """Text, chunks, annotators, duplicates, taxonomy."""
 
+import collections
 import hashlib
 
 import numpy as np
@@ -280,6 +281,34 @@ def test_split_and_head(spark):
     assert baseline.stratified_head(rows, "s", "i", 3).count() == 6
 
 
+def test_split_ranks_no_stratum_in_one_task(spark):
+    rows = [(i if i % 50 else None, "ab"[i % 7 == 0] if i % 9 else None, i) for i in range(900)] + [(3, "a", 900)]
+    df = baseline.stratified_split(spark.createDataFrame(rows, "i bigint, s string, row bigint"), "s", "i", 0.3)
+    assert "row_number() windowspecdefinition(s#" in (plan := df._jdf.queryExecution().analyzed().toString()) and all("_part#" in x.split(" ASC")[0] for x in plan.split("row_number() windowspecdefinition(")[1:])
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["s"], []).append((r["i"], r["is_test"]))
+    for s, found in got.items():
+        key = lambda i: (i is not None, hashlib.md5(f"7:{i}".encode()).hexdigest(), i)
+        ordered = sorted((i for i, t, _ in rows if t == s), key=key)
+        assert sorted((i for i, t in found if t), key=key) == ordered[: int(len(ordered) * 0.3)] and len(found) == len(ordered)
+
+
+def test_vectors_equal_the_long_form(spark):
+    """Counted within tasks, over rows that repeat an id, null ids and texts without terms."""
+    texts = ["red apple red", "blue sky über", None, "red sky apple", "apple sky", "zebra"]
+    df = spark.createDataFrame([(i % 4 if i < 5 else None, t) for i, t in enumerate(texts)], "id int, text string")
+    known = taxonomy.vocabulary(df, "id", "text", 9)
+    got = {(r["id"], list(known)[at]): round(w, 9) for r in taxonomy.vectors(df, "id", "text", known, sublinear=True).collect() for at, w in zip(r["at"], r["weight"])}
+    n, docs = 6, {0: ["red apple red", "apple sky"], 1: ["blue sky über"], 3: ["red sky apple"], None: ["zebra"]}
+    tf = {k: sum((collections.Counter([*w, *map(" ".join, zip(w, w[1:]))]) for w in map(str.split, v)), collections.Counter()) for k, v in docs.items()}
+    total, dfs = sum(tf.values(), collections.Counter()), collections.Counter(t for c in tf.values() for t in c)
+    kept = sorted(sorted(total, key=lambda t: (-total[t], t))[:9])
+    assert list(known) == kept and all(known[t] == pytest.approx(np.log((1 + n) / (1 + dfs[t])) + 1) for t in kept)
+    raw = {k: {t: (1 + np.log(c[t])) * known[t] for t in kept if t in c} for k, c in tf.items() if k is not None}
+    assert got == {(k, t): pytest.approx(x / np.sqrt(sum(y * y for y in w.values())), abs=1e-8) for k, w in raw.items() for t, x in w.items()}
+
+
 def test_baseline_learns(spark):
     rows = spark.createDataFrame([(i, ("good fine sunny" if i % 2 else "bad poor rainy") + f" day{i % 5}", "yn"[i % 2]) for i in range(40)], "i bigint, t string, y string")
     got = baseline.predict(rows, "i", "t", "y", max_features=50).collect()
