@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from labelwright.functions.text import first_best, keywords_present
 from labelwright.operators.shingling import slices
+from labelwright.plans.materialize import cut
 from labelwright.sources.corpora import RESPONSE
 
 # Themes in their order, which decides ties, and their keywords.
@@ -224,11 +229,136 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, max_features: int | None
 def top_terms(weights: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
     """The k terms with the largest mean weight in each group: group, rank, term, weight. `groups` is id, group; a document without a term counts as 0; by term on a tie."""
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    mean = weights.join(groups, "id").groupBy("group", "term").agg(F.sum("weight").alias("s")).join(sizes, "group").select("group", "term", (F.col("s") / F.col("size")).alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("weight"), "term"))
+    return _ranked(weights.join(groups, "id").groupBy("group", "term").agg(F.sum("weight").alias("s")).join(sizes, "group"), k)
+
+
+def _ranked(sums: DataFrame, k: int) -> DataFrame:
+    """group, rank, term, weight from group, term, s, size. Weights that differ in their last digits alone tie, as sums come in any order."""
+    mean = sums.select("group", "term", (F.col("s") / F.col("size")).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc(F.round("weight", 12)), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= k).select("group", "rank", "term", "weight")
 
 
+#: Bytes of words, and documents, in a block; characters of texts for each share of the terms' hashes.
+BLOCK_BYTES, BLOCK_DOCS, SHARE_CHARS = 2_000_000, 4096, 20_000_000
+_BLOCK_ROW = "block bigint, part int, id {0}, group {1}, t binary"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], by: str = "block") -> Iterator[tuple[int, list[dict]]]:
+    """The rows with equal numbers in `by`, which come one after another."""
+    last, rows = None, []
+    for batch in slices(batches, "t"):
+        for row in batch.to_pylist():
+            if rows and row[by] != last:
+                yield last, rows
+                rows = []
+            last = row[by]
+            rows.append(row)
+    if rows:
+        yield last, rows
+
+
+def _block_terms(rows: list[dict], ngrams: int) -> tuple[list[str], np.ndarray, list[tuple[list, np.ndarray, np.ndarray]]]:
+    """The terms of a block's documents, the order of their hashes, and for each id that isn't null its groups, terms by number and their counts."""
+    numbers: dict[str, int] = {}
+    docs = []
+    for same in [list(g) for _, g in groupby(rows, lambda r: r["id"])]:
+        counts: Counter = Counter()
+        for row in same:
+            w = zlib.decompress(row["t"]).decode().split()
+            counts.update(w)
+            for n in range(2, ngrams + 1):
+                counts.update(map(" ".join, zip(*(w[i:] for i in range(n)))))
+        at = np.fromiter((numbers.setdefault(t, len(numbers)) for t in counts), np.int64, len(counts))
+        docs.append((None if same[0]["id"] is None else [r["group"] for r in same], at, np.fromiter(counts.values(), np.int64, len(counts))))
+    h = np.fromiter((xxhash.xxh64_intdigest(t) for t in numbers), np.uint64, len(numbers))
+    return list(numbers), h, docs
+
+
+def top_terms_of(docs: DataFrame, id_col: str, text_col: str, group_col: str, k: int = 8, stop_words: list[str] | None = None, ngrams: int = 2) -> DataFrame:
+    """`top_terms` of the weights of `tfidf` over all terms, without a row for each term of each document.
+
+    Documents are dealt in blocks. A block asks for the frequencies of its terms by their hashes (64 bits), a share of the
+    hashes at a time, and gets them back in the same order. A term's weights in a group sum up to no more than its
+    frequency; so once the sums of frequent terms are known, a term that is in fewer documents than the group's k-th sum so
+    far can't be among its k, and only the others are summed up. One row a group comes to the driver.
+    """
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
+    bits = max(0, int(chars // SHARE_CHARS).bit_length())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("group"), F.col(text_col).alias("t")).repartition("id").sortWithinPartitions("id")
+    rows = rows.select("id", "group", F.array_join(terms(F.col("t"), stop_words, 1), " ").cast("binary").alias("t"))
+    schema = _BLOCK_ROW.format(*(rows.schema[c].dataType.simpleString() for c in ("id", "group")))
+    kinds = [to_arrow_type(rows.schema[c].dataType) for c in ("id", "group")]
+    batch_of = lambda got: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got) if got else [()] * 5, (pa.int64(), pa.int32(), *kinds, pa.binary()))], ["block", "part", "id", "group", "t"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, held, last = TaskContext.get().partitionId() << 32, 0, 0, None
+        for batch in slices(batches, "t"):
+            got = []
+            for row in batch.to_pylist():
+                if row["id"] != last and (size > BLOCK_BYTES or held >= BLOCK_DOCS):
+                    block, size, held = block + 1, 0, 0
+                size, held, last = size + len(row["t"]), held + 1, row["id"]
+                got.append((block, -1, row["id"], row["group"], zlib.compress(row["t"], 1)))
+            yield batch_of(got)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in _by_block(batches):
+            _, h, counted = _block_terms(found, ngrams)
+            df = np.bincount(np.concatenate([at for _, at, _ in counted]), minlength=len(h)).astype("<u4") if len(h) else np.empty(0, "<u4")
+            order = np.argsort(h, kind="stable")
+            h, df = h[order], df[order]
+            parts = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+            edges = np.flatnonzero(np.diff(parts, prepend=-1, append=-1)).tolist() if len(h) else []
+            yield batch_of([(block, int(parts[a]), None, None, h[a:b].astype("<u8").tobytes() + zlib.compress(df[a:b].tobytes(), 1) + (b - a).to_bytes(4, "little")) for a, b in zip(edges, edges[1:])])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, asked in _by_block(batches, "part"):
+            sizes = [int.from_bytes(r["t"][-4:], "little") for r in asked]
+            h = np.concatenate([np.frombuffer(r["t"], "<u8", m) for r, m in zip(asked, sizes)])
+            df = np.concatenate([np.frombuffer(zlib.decompress(r["t"][8 * m : -4]), "<u4") for r, m in zip(asked, sizes)])
+            at = np.unique(h, return_inverse=True)[1]
+            whole = np.bincount(at, weights=df)[at].astype("<u4")
+            for first in range(0, len(asked), 256):
+                upto = np.cumsum([sum(sizes[:first]), *sizes[first : first + 256]]).tolist()
+                yield batch_of([(r["block"], part, None, None, zlib.compress(whole[a:b].tobytes(), 1)) for r, a, b in zip(asked[first:], upto, upto[1:])])
+
+    def sums(least: dict) -> DataFrame:
+        """Sums of the weights of terms in at least as many documents as `least` has for the group; least[None] for others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, found in _by_block(batches):
+                replies, own = [r for r in found if r["part"] >= 0], [r for r in found if r["part"] < 0]
+                names, h, counted = _block_terms(own, ngrams)
+                df = np.empty(len(h))
+                if len(h):
+                    df[np.argsort(h, kind="stable")] = np.concatenate([np.frombuffer(zlib.decompress(r["t"]), "<u4") for r in replies])
+                idf = np.log((1 + n) / (1 + df)) + 1
+                met: dict = {}
+                for groups, at, tf in counted:
+                    if groups and len(at):
+                        w = tf * idf[at]
+                        w /= np.sqrt((w * w).sum())
+                        for g in groups:
+                            if g is not None and (keep := df[at] >= least.get(g, least[None])).any():
+                                met.setdefault(g, []).append((at[keep], w[keep]))
+                for g, each in met.items():
+                    at, where = np.unique(np.concatenate([a for a, _ in each]), return_inverse=True)
+                    s = np.bincount(where, weights=np.concatenate([w for _, w in each]))
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), kinds[1]), pa.array([names[i] for i in at.tolist()], pa.string()), pa.array(s)], ["group", "term", "s"])
+
+        dealt = packed.unionByName(replied).repartition("block").sortWithinPartitions("block", "part", "id")
+        return dealt.mapInArrow(run, f"group {rows.schema['group'].dataType.simpleString()}, term string, s double").groupBy("group", "term").agg(F.sum("s").alias("s"))
+
+    packed = cut(rows.mapInArrow(pack, schema))
+    replied = cut(packed.mapInArrow(ask, schema).repartition("part").sortWithinPartitions("part").mapInArrow(answer, schema))
+    by_sum = Window.partitionBy("group").orderBy(F.desc("s"))
+    kth = sums({None: n / 1000}).withColumn("r", F.row_number().over(by_sum)).where(F.col("r") == k).collect()
+    best = sums({None: 0} | {r["group"]: r["s"] * (1 - 1e-9) for r in kth})
+    sizes = docs.groupBy(F.col(group_col).alias("group")).agg(F.count("*").alias("size"))
+    return _ranked(best.join(sizes, "group"), k)
+
+
 def hdbscan(x: np.ndarray, min_cluster_size: int = 3, min_samples: int = 1) -> np.ndarray:
     """Cluster numbers of the rows of x, -1 for noise: single linkage over mutual reachability, condensed, with the most stable clusters chosen."""
     n = len(x)

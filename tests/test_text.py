@@ -333,6 +333,19 @@ def test_baseline_query_uses_rare_terms(spark, tmp_path):
     assert row["n"] == 20 and row["n_correct"] >= 19
 
 
+def test_top_terms_by_blocks_equal_the_long_form(spark, monkeypatch):
+    """Small blocks and shares of hashes; repeated and null ids, null groups, a group of few documents, texts without terms; no exchange of a term's row for each document."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 90, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) if x < 500), "ab"[i % 2]) for i in range(100)]
+    rows += [(None, "w1 w2 lost", "a"), (200, None, "a"), (201, "", "b"), (202, "w1 w3", None), (203, "rare w1 rare", "c")]
+    df = spark.createDataFrame(rows, "id int, text string, g string")
+    monkeypatch.setattr(taxonomy, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(taxonomy, "SHARE_CHARS", 3000)
+    of = lambda x: {(r["group"], r["rank"]): (r["term"], round(r["weight"], 9)) for r in x.collect()}
+    want = of(taxonomy.top_terms(taxonomy.tfidf(df, "id", "text", None), df.select("id", F.col("g").alias("group")), 8))
+    assert of(taxonomy.top_terms_of(df, "id", "text", "g", 8)) == want and len(want) == 8 + 8 + 4
+
+
 def test_top_terms_of_a_rare_language(spark, tmp_path):
     """Words and bigrams of one language alone outnumber any vocabulary that the other's would have to enter."""
     rows = [(i, " ".join(f"word{j}" for j in range(1200)), "en") for i in range(3)] + [(9, "seltenes wort seltenes wort", "de")]
