@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import tempfile
 from collections.abc import Iterator
@@ -58,11 +60,20 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> Dat
     return marked.where(F.col("_hot").isNull()).select(*rows.columns).join(facts.where(~hot), key).select(*at_once.columns).unionByName(at_once)
 
 
+def release() -> None:
+    """Memory that this process has freed goes back to the system. Workers are kept for later stages, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of a few rows each, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        release()
 
 
 def words_of(text: Column) -> Column:

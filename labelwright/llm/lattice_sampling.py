@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelwright.llm.common import release
 from labelwright.session import spread, table
 
 MODEL = "piece_bpe_32k.model"
@@ -638,7 +639,10 @@ def sample_segmentations(docs: DataFrame, text: str = "text", key: str = "doc_id
                     pa.array(found.round_trip),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [key, *ADDED])
+            del batch
+            release()
         lat.clear()
+        release()
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, sample int, ids array<int>, n_pieces bigint, log_prob double, inclusion double, log_inclusion double, round_trip boolean"
     return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import cut, join_counted, slices
+from labelwright.llm.common import cut, join_counted, release, slices
 from labelwright.llm.components import connected_components
 from labelwright.session import spread, table
 
@@ -298,6 +298,7 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", k
         for group in groups_of(batches, ["root", "lo", "hi"]):
             sets = {n: shingle_hashes(t, k) for n, t in zip(group.column("node").to_pylist(), group.column("_text").to_pylist())}
             yield _as_batch(alike_links(sets, similarity))
+        release()
 
     verified = dealt.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(compare, "a bigint, b bigint").distinct()
     roots = connected_components(verified)

@@ -1,7 +1,10 @@
 """The corpus pipeline's stages, each against brute force on what the stage before kept."""
 
 import collections
+import os
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 import pytest
@@ -82,3 +85,20 @@ def test_stages(spark, folder, tmp_path):
     assert {r["doc_id"] for r in got} == set(texts) and len(got) == 2 * before.count()
     assert all(lattice_sampling.decode(r["ids"], words) == texts[r["doc_id"]] and r["round_trip"] for r in got)
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, got))
+
+
+def test_workers_give_freed_memory_back():
+    """A worker is kept for later stages; what it freed, but held, counted against the executor (an Arrow batch and objects of 180 MB)."""
+    code = """
+import re
+import pyarrow as pa
+from labelwright.llm.common import slices
+rss = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+before = rss()
+for part in slices(iter([pa.RecordBatch.from_arrays([pa.array(["x" * 3000] * 20000)], ["t"])])):
+    objects = [bytes(900 + i % 7) for i in range(200_000)]
+    objects = None
+del part
+assert rss() - before < 120, (before, rss())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))})
